@@ -161,4 +161,4 @@ def certificate(packed: DataFrame, capacity: int, size: str = "n_tokens") -> Dat
         least = lower_bound(np.repeat([s for s, _ in known], [n for _, n in known]).astype(np.int64), capacity) if known else 0
         return pa.table({"containers": pa.array([used], pa.int64()), "lower_bound": pa.array([least], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "fill": pa.array([total / (used * capacity) if used else None], pa.float64())})
 
-    return counted.groupBy(F.lit(1)).applyInArrow(bound, "containers long, lower_bound long, n_tokens long, fill double")
+    return counted.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(bound, "containers long, lower_bound long, n_tokens long, fill double")

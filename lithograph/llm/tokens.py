@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,7 @@ SLICE_CHARS = 8_000_000
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of at most SLICE_CHARS bytes of text, or one row."""
     for batch in batches:
-        offsets = batch.column(column).offsets if hasattr(batch.column(column), "offsets") else None
-        if offsets is None:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        else:
-            at = offsets.to_numpy()
-            sizes = at[1:] - at[:-1]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, size in enumerate(sizes.tolist()):
             if held and held + size > SLICE_CHARS:
