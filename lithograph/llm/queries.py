@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithograph.llm import packing, splitting, tokens
-from lithograph.tables import load
+from pyspark.sql import functions as F
+
+from lithograph.llm import packing, sources, splitting, tokens
+from lithograph.tables import load, once
 
 CAPACITY = 2048
 PIECE_TOKENS, OVERLAP_TOKENS = 512, 64
 
 
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = once(load(spark, sf_dir, "files").select("id", "path", "language").where(F.col("id").isNotNull()), "id")
+    texts = once(load(spark, sf_dir, "source_texts").select(F.col("file_id").alias("id"), "content").where(F.col("id").isNotNull()), "id")
+    return sources.classified(files.join(texts, "id", "left"))
+
+
+def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, path, lang, origin and the layout statistics of each file."""
+    return _origins(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "lang", "n_chars", "n_lines", *sources.LIMITS, "origin")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id of each file that is not hand-written."""
+    return _origins(spark, sf_dir).where(F.col("origin") != "hand_written").select(F.col("id").alias("file_id"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and ids of each document."""
     return tokens.token_ids(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -35,5 +53,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, OVERLAP_TOKENS)
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
 ORACLE: dict[str, str] = {}
