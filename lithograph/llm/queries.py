@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lithograph.llm import packing, sources, splitting, tokens
-from lithograph.tables import load, once
+from lithograph.llm import neighbours, packing, sources, splitting, tokens
+from lithograph.tables import checkpointed, load, once
 
 CAPACITY = 2048
+NEIGHBOURS, DIM, SIMILAR = 5, 64, 0.87
+VECTORS = (("adrs", "id", "embedding"), ("embedding_results", "tag", "vector"))
 PIECE_TOKENS, OVERLAP_TOKENS = 512, 64
 
 
@@ -29,6 +31,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _origins(spark, sf_dir).where(F.col("origin") != "hand_written").select(F.col("id").alias("file_id"))
 
 
+def _near(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    vectors = checkpointed(neighbours.usable(load(spark, sf_dir, table), key, vector, DIM))
+    return vectors, neighbours.neighbours(vectors, NEIGHBOURS, DIM)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id_a, id_b of each pair of at least 0.87 of which one is among the five most similar of the other."""
+    found = None
+    for table, key, vector in VECTORS:
+        vectors, near = _near(spark, sf_dir, table, key, vector)
+        # Queries were rounded to half precision, by less than 0.002 in similarity; the full vectors decide.
+        close = near.where(F.col("similarity") >= SIMILAR - 0.002).select(F.least("n", "other").alias("n"), F.greatest("n", "other").alias("other")).distinct()
+        pairs = neighbours.exact(close, vectors, DIM).where(F.col("similarity") >= SIMILAR).select(F.least("key", "other_key").alias("id_a"), F.greatest("key", "other_key").alias("id_b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, id, other_id, similarity of the five most similar vectors of every vector."""
+    found = None
+    for table, key, vector in VECTORS:
+        vectors, near = _near(spark, sf_dir, table, key, vector)
+        names = vectors.select("n", "key")
+        rows = near.join(names.select("n", F.col("key").alias("id")), "n").join(names.select(F.col("n").alias("other"), F.col("key").alias("other_id")), "other")
+        rows = rows.select(F.lit(table).alias("table_name"), "id", "other_id", "similarity")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and ids of each document."""
     return tokens.token_ids(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -53,5 +84,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, OVERLAP_TOKENS)
 
 
-QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
 ORACLE: dict[str, str] = {}
