@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lithograph.llm import neighbours, packing, sources, splitting, tokens
+from lithograph.llm import identities, neighbours, packing, sources, splitting, tokens
 from lithograph.tables import checkpointed, load, once
 
 CAPACITY = 2048
@@ -31,6 +31,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _origins(spark, sf_dir).where(F.col("origin") != "hand_written").select(F.col("id").alias("file_id"))
 
 
+def p4_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and person (the least id of its group) of every row of persons that is not an automation account."""
+    return identities.linked(load(spark, sf_dir, "persons"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id_a, id_b of each pair of rows that belong to one human."""
+    return identities.pairs(identities.linked(load(spark, sf_dir, "persons")))
+
+
 def _near(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     vectors = checkpointed(neighbours.usable(load(spark, sf_dir, table), key, vector, DIM))
     return vectors, neighbours.neighbours(vectors, NEIGHBOURS, DIM)
@@ -84,5 +94,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, OVERLAP_TOKENS)
 
 
-QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
 ORACLE: dict[str, str] = {}
