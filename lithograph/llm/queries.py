@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lithograph.llm import identities, neighbours, packing, sources, splitting, tokens
+from lithograph.llm import identities, neighbours, packing, personal, sources, splitting, tokens
 from lithograph.tables import checkpointed, load, once
 
 CAPACITY = 2048
@@ -31,6 +31,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _origins(spark, sf_dir).where(F.col("origin") != "hand_written").select(F.col("id").alias("file_id"))
 
 
+def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [load(spark, sf_dir, table).select(F.lit(table).alias("record_table"), F.col("id").alias("record_id"), F.col(column).alias("text")) for table, column in (("commits", "message"), ("pull_requests", "body"))]
+    texts = once(parts[0].unionByName(parts[1]).where(F.col("record_id").isNotNull()), "record_table", "record_id")
+    texts = checkpointed(texts)
+    known = personal.gazetteers(texts, "text", load(spark, sf_dir, "persons").select("name"))
+    return personal.redacted(texts, "text", personal.fit(texts, "text", known))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_table, record_id, clean_text: every message and body with placeholders for personal information."""
+    return _redacted(spark, sf_dir).select("record_table", "record_id", "clean_text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_table, record_id, pii_type, found_text: each distinct text found in a record."""
+    found = _redacted(spark, sf_dir).select("record_table", "record_id", F.explode("spans").alias("s"))
+    return found.select("record_table", "record_id", F.col("s.pii_type").alias("pii_type"), F.col("s.found_text").alias("found_text")).distinct()
+
+
 def p4_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and person (the least id of its group) of every row of persons that is not an automation account."""
     return identities.linked(load(spark, sf_dir, "persons"))
@@ -94,5 +113,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, OVERLAP_TOKENS)
 
 
-QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
 ORACLE: dict[str, str] = {}
