@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The shape of a decision record and of references to issues.
+# The shape of a decision record and of references to issues. Word boundaries are those of all scripts.
 ADR_STATUS = r"(?mi)^[ \t]*Status:[ \t]*([^\r\n]*)"
 ADR_SECTION = r"(?mi)^##[ \t]+(?:context|decision)\b"
-ISSUE_NUMBER = r"(?i)\b(?:fix(?:e[sd])?|clos(?:e[sd])?|resolv(?:e[sd])?)\s*[:\-]?\s*#(\d+)\b"
-ISSUE_EXTERNAL = r"(?i)\b(?:fix(?:e[sd])?|clos(?:e[sd])?|resolv(?:e[sd])?)\s*[:\-]?\s*([A-Z][A-Z0-9]+-\d+)\b"
-ISSUE_BARE = r"\b([A-Z][A-Z0-9]+-\d+)\b"
+ISSUE_NUMBER = r"(?i)(?<![\p{L}\p{N}_])(?:fix(?:e[sd])?|clos(?:e[sd])?|resolv(?:e[sd])?)\s*[:\-]?\s*#(\d+)(?![\p{L}\p{N}_])"
+ISSUE_EXTERNAL = r"(?i)(?<![\p{L}\p{N}_])(?:fix(?:e[sd])?|clos(?:e[sd])?|resolv(?:e[sd])?)\s*[:\-]?\s*([A-Z][A-Z0-9]+-\d+)(?![\p{L}\p{N}_])"
+ISSUE_BARE = r"(?<![\p{L}\p{N}_])([A-Z][A-Z0-9]+-\d+)(?![\p{L}\p{N}_])"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 LANGUAGE_EXTENSIONS = {".py": "python"}
 
