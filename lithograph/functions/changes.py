@@ -30,23 +30,31 @@ def definition(source: str) -> ast.stmt:
 
 def written(node: ast.stmt) -> str:
     """The head of a definition without its colon."""
-    bare = ast.parse("def f(): ...").body
     if isinstance(node, ast.ClassDef):
         bases = ", ".join(map(ast.unparse, node.bases))
         return f"class {node.name}({bases})" if bases else f"class {node.name}"
-    head = type(node)(name=node.name, args=node.args, body=bare[0].body, decorator_list=[], returns=node.returns, type_params=[])
-    text = ast.unparse(ast.fix_missing_locations(head)).split("\n")[0].removesuffix("...").rstrip().removesuffix(":")
-    # unparse writes defaults of annotated parameters with spaces, of bare ones without; both get them.
-    for arg, default in _defaults(node.args):
-        if arg.annotation is None:
-            text = text.replace(f"{arg.arg}={ast.unparse(default)}", f"{arg.arg} = {ast.unparse(default)}")
-    return text
+    word = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
+    result = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+    return f"{word} {node.name}({', '.join(_parameters(node.args))}){result}"
 
 
-def _defaults(args: ast.arguments) -> list[tuple[ast.arg, ast.expr]]:
-    placed = [*args.posonlyargs, *args.args]
-    pairs = list(zip(placed[len(placed) - len(args.defaults) :], args.defaults, strict=True))
-    return pairs + [(a, d) for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True) if d is not None]
+def _parameters(args: ast.arguments) -> Iterator[str]:
+    """Parameters with annotation and default, and the marks for positional-only and keyword-only ones."""
+
+    def one(arg: ast.arg, stars: str = "", default: ast.expr | None = None) -> str:
+        typed = f": {ast.unparse(arg.annotation)}" if arg.annotation else ""
+        return f"{stars}{arg.arg}{typed}" + (f" = {ast.unparse(default)}" if default else "")
+
+    defaults = iter([None] * (len(args.posonlyargs) + len(args.args) - len(args.defaults)) + list(args.defaults))
+    yield from (one(a, "", next(defaults)) for a in args.posonlyargs)
+    if args.posonlyargs:
+        yield "/"
+    yield from (one(a, "", next(defaults)) for a in args.args)
+    if args.vararg or args.kwonlyargs:
+        yield one(args.vararg, "*") if args.vararg else "*"
+    yield from (one(a, "", d) for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True))
+    if args.kwarg:
+        yield one(args.kwarg, "**")
 
 
 def raised(node: ast.AST) -> set[str]:
@@ -101,7 +109,8 @@ def classify(before: str | None, after: str | None) -> dict:
     return {"classification": ordered[0], "all_changes": ordered, "before_signature": old and written(old), "after_signature": new and written(new), "added_exceptions": sorted(come), "removed_exceptions": sorted(gone), "error": None}
 
 
-CHANGE = T.StructType.fromDDL("classification string, all_changes array<string>, before_signature string, after_signature string, added_exceptions array<string>, removed_exceptions array<string>, error string")
+_FIELDS = {"classification": T.StringType(), "all_changes": T.ArrayType(T.StringType()), "before_signature": T.StringType(), "after_signature": T.StringType(), "added_exceptions": T.ArrayType(T.StringType()), "removed_exceptions": T.ArrayType(T.StringType()), "error": T.StringType()}
+CHANGE = T.StructType([T.StructField(name, kind) for name, kind in _FIELDS.items()])
 
 
 @F.pandas_udf(CHANGE)

@@ -16,9 +16,9 @@ def owner_rules(files: DataFrame, key: str = "repository_id", text: str = "conte
     left out; ``@`` is stripped. A null text has no rules.
     """
     lines = files.select(F.col(key), F.posexplode(F.split(F.col(text), r"\r\n|\n|\r")).alias("line_no", "line"))
-    words = lines.withColumn("words", F.filter(F.split("line", r"\s+"), lambda w: w != "")).where((F.size("words") > 1) & ~F.col("words")[0].startswith("#"))
+    words = lines.withColumn("words", F.filter(F.split("line", r"\s+"), lambda w: w != "")).where((F.size("words") > 1) & ~F.get("words", F.lit(0)).startswith("#"))
     owners = F.transform(F.filter(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), lambda w: w.startswith("@")), lambda w: F.substr(w, F.lit(2)))
-    rules = words.select(key, "line_no", F.col("words")[0].alias("pattern"), owners.alias("owners")).where(F.size("owners") > 0)
+    rules = words.select(key, "line_no", F.get("words", F.lit(0)).alias("pattern"), owners.alias("owners")).where(F.size("owners") > 0)
     return rules.withColumn("regex", glob_regex(F.col("pattern")))
 
 
@@ -46,5 +46,5 @@ def owners_of(paths: DataFrame, rules: DataFrame, key: str = "repository_id") ->
     Rules meet paths of the same repository only; the rules of a repository are
     one file, so the smaller side of the join is a file's lines.
     """
-    matched = paths.select(key, "path").distinct().join(rules, key).where(F.col("path").rlike(F.col("regex")))
+    matched = paths.select(key, "path").distinct().join(rules, key).where(F.rlike("path", "regex"))
     return matched.groupBy(key, "path").agg(F.max_by("owners", "line_no").alias("owners"))

@@ -17,7 +17,7 @@ def _read(spark: SparkSession, root: str, glob: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/") + "/"
     full = F.regexp_replace("path", r"^file:/+", "/")
-    # Bytes that are no UTF-8 give a null text and drop out.
+    # Bytes that are no UTF-8 give a null text and drop out. The reader skips files without a byte; they hold no symbols.
     return raw.select(F.substr(full, F.lit(len(base) + 1)).alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where(F.col("content").isNotNull())
 
 
