@@ -37,8 +37,9 @@ TARGET_RECALL = 0.93
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
 #: Candidates per query and block that asymmetric distances let through, about.
-CANDIDATES = 20
-_CELLS = 2_000_000
+CANDIDATES = 14
+#: Cells of a matrix of distances, so that it stays in a core's cache.
+_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,10 @@ def fit(sample: np.ndarray, count: int, k: int, target: float = TARGET_RECALL, s
     residual = (sample - centroids[near]).reshape(len(sample), dim // SUB, SUB)
     codes = min(256, len(sample))
     books = np.stack([_means(residual[:, m], codes, rng, rounds=5) for m in range(dim // SUB)])
-    asked = rng.choice(len(sample), min(400, len(sample)), replace=False)
+    # The sample is thinner than the whole, so its nearest vectors are farther away: as many of
+    # them are looked for as the k nearest of the whole would leave in the sample.
+    k = max(1, round(k * len(sample) / max(count, 1)))
+    asked = rng.choice(len(sample), min(1000, len(sample)), replace=False)
     similar = sample[asked] @ sample.T
     similar[np.arange(len(asked)), asked] = -2
     best = np.argsort(-similar, axis=1)[:, :k]
@@ -150,26 +154,30 @@ def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes:
     bar = math.sqrt(max(0.0, -2 * math.log(max(share, 1e-12)))) if share < 0.5 else -math.inf
     if math.isfinite(bar) and bar > 0:
         bar -= (2.515517 + 0.802853 * bar + 0.010328 * bar**2) / (1 + 1.432788 * bar + 0.189269 * bar**2 + 0.001308 * bar**3)
+    some = slice(None, None, max(1, len(d) // 256))
     for start in range(0, len(q), step):
         part = q[start : start + step]
         s = part @ decoded.T
         if math.isfinite(bar):
-            kth = s.mean(axis=1) + bar * s.std(axis=1)
-            keep = s > kth[:, None]
-            few = np.flatnonzero(keep.sum(axis=1) <= k)
+            seen = s[:, some]
+            mean = seen.mean(axis=1)
+            kth = mean + bar * np.sqrt(np.maximum(np.einsum("ij,ij->i", seen, seen) / seen.shape[1] - mean**2, 1e-12))
+            row, col = np.divmod(np.flatnonzero(s > kth[:, None]), len(d))
+            few = np.flatnonzero(np.bincount(row, minlength=len(part)) <= k)
             if len(few):
                 take = min(len(d), k + 1)
-                keep[few[:, None], np.argpartition(-s[few], take - 1, axis=1)[:, :take]] = True
+                more = np.argpartition(-s[few], take - 1, axis=1)[:, :take]
+                rest = ~np.isin(row, few)
+                row, col = np.concatenate((row[rest], np.repeat(few, take))), np.concatenate((col[rest], more.ravel()))
         else:
-            keep = np.ones_like(s, dtype=bool)
-        row, col = np.nonzero(keep)
+            row, col = np.divmod(np.arange(s.size), len(d))
         other = qn[start + row] != dn[col]
         row, col = row[other], col[other]
         true = np.einsum("ij,ij->i", part[row], d[col])
-        order = np.lexsort((dn[col], -true, row))
+        # Similarities lie within one of zero, so rows stay apart.
+        order = np.argsort(4.0 * row - true, kind="stable")
         row, col, true = row[order], col[order], true[order]
-        first = np.searchsorted(row, row, "left")
-        best = np.arange(len(row)) - first < k
+        best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
         for to, x in zip(found, (start + row[best], dn[col[best]], true[best]), strict=True):
             to.append(x)
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(found, (np.int64, np.int64, np.float32), strict=True))
