@@ -2,8 +2,9 @@
 
 Items are spread over partitions by a hash of their key and packed there by
 best-fit decreasing. A lower bound from dual feasible functions certifies a
-partition whose number of containers cannot be beaten. Partitions with a gap
-release their emptiest containers; the released items of ``EXCHANGE``
+partition whose number of containers cannot be beaten. Partitions with a gap,
+to the bound or of more than a quarter of a container in free room, release
+their emptiest containers; the released items of ``EXCHANGE``
 partitions meet in one group and are packed again, round after round, until
 one group is left. A round keeps the older packing where it is not beaten.
 
@@ -92,7 +93,8 @@ def _repack(capacity: int, stage: int, final: bool) -> Callable[[pa.Table], pa.T
                 placed, names = back, old.astype(object)[back]
         fill = np.bincount(placed, weights=sizes)
         free = np.zeros(len(fill), dtype=bool)
-        if not final and len(fill) > bound:
+        # A certified count may still hide most of a free container behind its rounding.
+        if not final and (len(fill) > bound or len(fill) * capacity - sizes.sum() > capacity // 4):
             loosest = np.argsort(fill, kind="stable")[:RELEASE]
             free[loosest[fill[loosest] < capacity]] = True
         columns = {"container_id": pa.array(names, pa.string()), "__free": pa.array(free[placed])}
