@@ -31,13 +31,13 @@ from lithograph.tables import checkpointed
 #: Vectors in the sample that centroids and codebooks are fitted on, about.
 SAMPLE = 30_000
 #: Dimensions per code byte.
-SUB = 4
+SUB = 2
 #: Recall that the number of visited lists is chosen for, measured within the sample.
-TARGET_RECALL = 0.93
+TARGET_RECALL = 0.94
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
 #: Candidates per query and block that asymmetric distances let through, about.
-CANDIDATES = 14
+CANDIDATES = 16
 #: Cells of a matrix of distances, so that it stays in a core's cache.
 _CELLS = 200_000
 
