@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -141,8 +142,9 @@ class Encoder:
     #: Distinct words kept at most; beyond, the dictionary starts anew.
     MOST_WORDS = 1_000_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, mark: Callable[[str], int] | None = None) -> None:
         self.vocab = vocabulary(path)
+        self.mark = mark
         self.find = regex.compile(PATTERN).findall
         self.start()
 
@@ -151,6 +153,8 @@ class Encoder:
         self.ids, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
         #: Characters of each word.
         self.chars = np.empty(0, np.int64)
+        #: What ``mark`` says of each word.
+        self.marks = np.empty(0, np.int64)
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words of all texts, one after another, and the offsets of the texts in them."""
@@ -164,6 +168,8 @@ class Encoder:
             strings = list(self.codes)[known:]
             ids, at = replay([w.encode("utf-8", "surrogatepass") for w in strings], self.vocab)
             self.chars = np.concatenate((self.chars, np.fromiter(map(len, strings), np.int64, len(strings))))
+            if self.mark:
+                self.marks = np.concatenate((self.marks, np.fromiter(map(self.mark, strings), np.int64, len(strings))))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
             self.at = np.concatenate((self.at, self.at[-1] + at[1:]))
         return np.concatenate(parts) if parts else np.empty(0, np.int32), offsets

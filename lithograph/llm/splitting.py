@@ -27,8 +27,47 @@ from lithograph.llm.tokens import VOCABULARY, slices
 LONG_WORD = 24
 #: A cut lies within this share of the part's length on either side of its middle.
 NEAR = 0.2
-#: Boundaries from weak to strong; the grade is the place in this list, counted from 1.
-_BOUNDARIES = [re.compile(p) for p in (r"\s+", r"[,;:]\s+|[、，；：]", r"[.!?…][\"'”’)\]]*\s+|[。！？]+", r"[ \t]*[\r\n]\s*", r"\r?\n[ \t]*\r?\n\s*")]
+_LINE = re.compile(r"\r\n|\n|\r")
+_SPACE, _SPACED, _SENTENCE, _CLAUSE, _BARE, _LINES = 1, 2, 4, 8, 16, 5
+_ENDS = [(re.compile(r".*[.!?…][\"'”’)\]]*", re.S), _SENTENCE), (re.compile(r".*[,;:]", re.S), _CLAUSE), (re.compile(r".*[。！？][」』”’）]*", re.S), _SENTENCE | _BARE), (re.compile(r".*[、，；：]", re.S), _CLAUSE | _BARE)]
+
+
+def mark(word: str) -> int:
+    """What a word tells about the boundaries beside it, as bits; line ends are counted up to 3 from bit 5 on.
+
+    White space, a leading space, an end of a sentence or clause, and whether
+    that end needs no white space after it.
+    """
+    if word.isspace():
+        return _SPACE | min(3, len(_LINE.findall(word))) << _LINES
+    bits = _SPACED if word[0] == " " else 0
+    if not word[-1].isalnum():
+        for pattern, bit in _ENDS:
+            if pattern.fullmatch(word):
+                bits |= bit
+    return bits
+
+
+def grades(marks: np.ndarray) -> np.ndarray:
+    """The grade of the boundary before each word, and of the one at the end.
+
+    A boundary counts behind all white space, before the word that follows; the
+    line ends of the run and the word before it give the grade.
+    """
+    n = len(marks)
+    out = np.zeros(n + 1, dtype=np.int8)
+    if not n:
+        return out
+    space = (marks & _SPACE) > 0
+    lines = np.concatenate(([0], np.cumsum(marks >> _LINES)))
+    before = np.concatenate(([-1], np.maximum.accumulate(np.where(space, -1, np.arange(n)))))[:n]  # the last word that is no white space
+    run = lines[:n] - lines[before + 1]
+    said = np.where(before >= 0, marks[before], 0)
+    apart = (before < np.arange(n) - 1) | ((marks & _SPACED) > 0)
+    heard = apart | ((said & _BARE) > 0)
+    grade = np.select([run > 1, run == 1, heard & ((said & _SENTENCE) > 0), heard & ((said & _CLAUSE) > 0), apart], [5, 4, 3, 2, 1], 0)
+    out[:n] = np.where(space, 0, grade)
+    return out
 
 
 class _Text:
@@ -40,13 +79,7 @@ class _Text:
         n = size[words]
         char = np.concatenate(([0], np.cumsum(encoder.chars[words])))
         token = np.concatenate(([0], np.cumsum(n)))
-        grade = np.zeros(len(char), dtype=np.int8)
-        for g, pattern in enumerate(_BOUNDARIES, 1):
-            spans = np.array([m.span() for m in pattern.finditer(text)], dtype=np.int64).reshape(-1, 2)
-            at = np.searchsorted(char, spans[:, 1], "right") - 1
-            grade[at[char[at] > spans[:, 0]]] = g
-            if g == 1:
-                grade[at] = np.maximum(grade[at], 1)
+        grade = grades(encoder.marks[words])
         inner = np.zeros(len(char), dtype=bool)
         if (n > LONG_WORD).any():
             extra = []
@@ -171,7 +204,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 512, overlap: i
     numbers = ["piece", "start_char", "end_char", "n_tokens", "overlap_tokens", "cut_grade"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, mark)
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = split(texts, encoder, limit, overlap)
