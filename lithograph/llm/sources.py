@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithograph.tables import checkpointed
+
 # Languages by file extension.
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
@@ -37,7 +39,7 @@ VENDORED_HEADER = (
     r"(?i)vendored (?:copy|from|version)|third-party copy|\bcopy of [\w.-]+ \(?v?\d+\.\d+|local changes are not allowed|\bimported from \S+ at (?:tag|commit|revision)|upstream-(?:version|commit|url)\s*:"
     r"|upstream fixes go|\(c\) the [\w.-]+ (?:contributors|authors|developers)|spdx-filecopyrighttext:\s*[\w.-]+ (?:maintainers|contributors|authors)"
 )
-MINIFIED_MARK = r"[#@] sourceMappingURL="
+MINIFIED_MARK = r"(?m)^\s*(?://|/\*)[#@] sourceMappingURL="
 #: The comment at the top of a file, line by line, at most 40 lines; a docstring is code and not part of it.
 _HEAD = r"^(?:\s*+(?://|#|--|/\*|\*|<!--|;)[^\n]*+(?:\n|$)){1,40}"
 # Letters, digits and signs of base64, or escaped bytes, in one run. Words and paths are shorter or have no digits.
@@ -99,28 +101,34 @@ def thresholds(stats: DataFrame) -> DataFrame:
 
 
 def classified(df: DataFrame, path: str = "path", language: str = "language", content: str = "content") -> DataFrame:
-    """``df`` with the layout columns and ``origin``: generated, minified, vendored, data or hand_written.
+    """``df`` without its text, with the layout columns and ``origin``: generated, minified, vendored, data or hand_written.
 
     A null or empty text is judged by its path alone; a null path by the text
     alone. Repeated rows get the same answer each; an empty table gives an
-    empty table.
+    empty table. The texts are read once: what they say is kept in a few
+    columns before thresholds are taken.
     """
-    stats = layout(df, path, language, content)
+    head = F.regexp_extract(F.coalesce(F.col(content), F.lit("")), _HEAD, 0)
+    stats = (
+        layout(df, path, language, content)
+        .withColumn("__says_vendored", head.rlike(VENDORED_HEADER)).withColumn("__says_generated", head.rlike(GENERATED_HEADER))
+        .withColumn("__maps", F.coalesce(F.col(content).rlike(MINIFIED_MARK), F.lit(False))).drop(content)
+    )
+    stats = checkpointed(stats)
     # One row per known language, so the broadcast has at most len(LANGUAGES) + 1 rows.
     tuned = stats.join(F.broadcast(thresholds(stats)), F.col("lang") == F.col("__lang"), "left")
-    head = F.regexp_extract(F.coalesce(F.col(content), F.lit("")), _HEAD, 0)
     at = F.coalesce(F.col(path), F.lit(""))
     over = lambda name: F.col(name) > F.col(f"__{name}")
     enough = (F.col("n_chars") >= LEAST_CHARS) & F.col("n_chars").isNotNull()
     dense = F.col("space_share") < F.col("__space_share")
-    data = enough & (over("number_share") | over("encoded_share") | (over("alnum_share") & over("max_line")))
+    data = F.coalesce(enough & (over("number_share") | over("encoded_share") | (over("alnum_share") & over("max_line"))), F.lit(False))
     repeated = enough & over("same_shape_share") & (F.col("n_lines") >= LEAST_LINES)
     squeezed = enough & over("max_line") & over("mean_line") & dense
-    said = F.regexp_extract(F.coalesce(F.col(content), F.lit("")), r"(?m)^.*" + MINIFIED_MARK, 0) != ""
+    mapped = F.col("__maps") & over("max_line")
     origin = (
-        F.when(at.rlike(rf"(?i)(?:^|/)(?:{VENDORED_DIRS})/") | head.rlike(VENDORED_HEADER), "vendored")
-        .when(head.rlike(GENERATED_HEADER) | at.rlike(rf"(?:^|/)(?:{GENERATED_DIRS})/") | at.rlike(GENERATED_NAMES), "generated")
-        .when(at.rlike(MINIFIED_NAMES) | (squeezed & ~F.coalesce(data, F.lit(False))) | (said & squeezed), "minified")
+        F.when(at.rlike(rf"(?i)(?:^|/)(?:{VENDORED_DIRS})/") | F.col("__says_vendored"), "vendored")
+        .when(F.col("__says_generated") | at.rlike(rf"(?:^|/)(?:{GENERATED_DIRS})/") | at.rlike(GENERATED_NAMES), "generated")
+        .when(at.rlike(MINIFIED_NAMES) | (squeezed & ~data) | mapped, "minified")
         .when(data, "data").when(repeated, "generated").otherwise("hand_written")
     )
-    return tuned.withColumn("origin", origin).drop("__lang", *[f"__{n}" for n in LIMITS])
+    return tuned.withColumn("origin", origin).drop("__lang", "__says_vendored", "__says_generated", "__maps", *[f"__{n}" for n in LIMITS])
