@@ -114,4 +114,16 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_persons": p4_persons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_certificate": p8_certificate, "p9_pieces": p9_pieces}
-ORACLE: dict[str, str] = {}
+def _pairs(table: str, key: str, vector: str) -> str:
+    good = f"len({vector}) = {DIM} AND (list_max({vector}) <> 0 OR list_min({vector}) <> 0)"
+    return f"""SELECT CASE WHEN a < b THEN a ELSE b END AS id_a, CASE WHEN a < b THEN b ELSE a END AS id_b FROM (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM (
+    SELECT x.k AS a, y.k AS b, list_cosine_similarity(x.v, y.v) AS s FROM {table}_v x, {table}_v y WHERE x.k <> y.k)) WHERE n <= {NEIGHBOURS} AND s >= {SIMILAR}""", f"{table}_v AS (SELECT DISTINCT {key} AS k, CAST({vector} AS DOUBLE[]) AS v FROM {table} WHERE {good})"
+
+
+def _found_sql() -> str:
+    parts = [_pairs(*v) for v in VECTORS]
+    return f"WITH {', '.join(c for _, c in parts)} " + " UNION ".join(q for q, _ in parts)
+
+
+ORACLE = {"p5_found": _found_sql()}
