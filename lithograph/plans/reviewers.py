@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.functions.paths import owners_of
 from lithograph.operators import graph as q
+from lithograph.tables import checkpointed
 
 WINDOW_DAYS, ACTIVE_DAYS, TOP = 180, 90, 3
 # The weight of each signal and the value from which on it counts.
@@ -35,22 +38,38 @@ def _owners(g: q.Graph, files: DataFrame, rules: DataFrame | None) -> DataFrame:
     return files.join(owned, ["repository_id", "path"]).select("pull_request_id", "path", F.explode("owners").alias("login"))
 
 
-def candidates(g: q.Graph, prs: DataFrame, changed: DataFrame, now: Column, rules: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Evidence:
+    """What candidates and signals both start from: known files, and who wrote and reviewed them lately."""
+
+    files: DataFrame
+    authors: DataFrame
+    reviews: DataFrame
+
+
+def evidence(g: q.Graph, changed: DataFrame, now: Column, kept: bool = False) -> Evidence:
+    """The evidence on changed files; ``kept`` writes it once for several uses."""
+    keep = checkpointed if kept else lambda df: df
+    files = keep(_files(g, changed))
+    since, asked = _before(now, WINDOW_DAYS), files.select("file_id").distinct()
+    return Evidence(files, keep(q.authors_of_file(g, since, asked)), keep(q.reviewers_of_file(g, since, asked)))
+
+
+def candidates(g: q.Graph, prs: DataFrame, changed: DataFrame, now: Column, rules: DataFrame | None = None, known: Evidence | None = None) -> DataFrame:
     """pull_request_id, login, person_id, is_team: owners, recent authors and recent reviewers of the changed files.
 
     The author of the pull request, bots, and people whose last activity is
     older than 90 days or unknown drop out; teams and logins the graph does
     not know stay. ``prs`` has id, author_login.
     """
-    files = _files(g, changed)
-    since = _before(now, WINDOW_DAYS)
-    asked = files.select("file_id").distinct()
+    seen = known or evidence(g, changed, now)
+    files = seen.files
     owners = _owners(g, files, rules).select("pull_request_id", "login", F.lit(None).cast("string").alias("person_id"), F.col("login").contains("/").alias("is_team"))
-    worked = q.authors_of_file(g, since, asked).unionByName(q.reviewers_of_file(g, since, asked)).select("file_id", "login", "person_id").distinct()
+    worked = seen.authors.unionByName(seen.reviews).select("file_id", "login", "person_id").distinct()
     people = files.join(worked, "file_id").select("pull_request_id", "login", "person_id", F.lit(False).alias("is_team"))
     pool = owners.unionByName(people).groupBy("pull_request_id", "login").agg(F.min("person_id").alias("person_id"), F.bool_or("is_team").alias("is_team"))
-    known = g["persons"].groupBy(F.col("github_login").alias("login")).agg(F.min("id").alias("known_id"))
-    pool = pool.join(known, "login", "left").withColumn("person_id", F.coalesce("person_id", "known_id")).drop("known_id")
+    ids = g["persons"].groupBy(F.col("github_login").alias("login")).agg(F.min("id").alias("known_id"))
+    pool = pool.join(ids, "login", "left").withColumn("person_id", F.coalesce("person_id", "known_id")).drop("known_id")
     author = prs.select(F.col("id").alias("pull_request_id"), "author_login")
     rows = pool.join(author, "pull_request_id").where(~F.col("login").eqNullSafe(F.col("author_login")) & ~is_bot(F.col("login")))
     last = q.last_activity_at(g, pool.where(F.col("person_id").isNotNull()).select("person_id"))
@@ -59,19 +78,18 @@ def candidates(g: q.Graph, prs: DataFrame, changed: DataFrame, now: Column, rule
     return rows.where(active).select("pull_request_id", "login", "person_id", "is_team")
 
 
-def signals(g: q.Graph, pool: DataFrame, changed: DataFrame, now: Column, rules: DataFrame | None = None) -> DataFrame:
+def signals(g: q.Graph, pool: DataFrame, changed: DataFrame, now: Column, rules: DataFrame | None = None, known: Evidence | None = None) -> DataFrame:
     """``pool`` with the six signals; whatever is unknown counts as none.
 
     The share of authored files is of all changed paths, known or not; the
     owner signal looks at known ones only.
     """
-    files = _files(g, changed)
-    since = _before(now, WINDOW_DAYS)
-    asked = files.select("file_id").distinct()
+    seen = known or evidence(g, changed, now)
+    files, since = seen.files, _before(now, WINDOW_DAYS)
     owner = _owners(g, files, rules).select("pull_request_id", "login", F.lit(True).alias("is_codeowner")).distinct()
     paths = changed.groupBy("pull_request_id").agg(F.count_distinct("path").alias("n_paths"))
-    authored = files.join(q.authors_of_file(g, since, asked), "file_id").groupBy("pull_request_id", "person_id").agg(F.count_distinct("path").alias("authored"), F.sort_array(F.collect_set("path")).alias("authored_files"))
-    reviewed = files.join(q.reviewers_of_file(g, since, asked), "file_id").groupBy("pull_request_id", "person_id").agg(F.sum("n").alias("recent_review_count"))
+    authored = files.join(seen.authors, "file_id").groupBy("pull_request_id", "person_id").agg(F.count_distinct("path").alias("authored"), F.sort_array(F.collect_set("path")).alias("authored_files"))
+    reviewed = files.join(seen.reviews, "file_id").groupBy("pull_request_id", "person_id").agg(F.sum("n").alias("recent_review_count"))
     overlap = q.call_graph_overlap_counts(g, files.select(F.col("pull_request_id").alias("set_id"), "file_id"), since).select(F.col("set_id").alias("pull_request_id"), "person_id", F.col("n").alias("call_graph_overlap"))
     people = pool.where(F.col("person_id").isNotNull()).select("person_id").distinct()
     rate = q.review_acceptance_rate(g, since, people)
@@ -117,6 +135,9 @@ def rationale() -> Column:
 
 def ranked(g: q.Graph, prs: DataFrame, changed: DataFrame, now: Column, rules: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """The best reviewers of each pull request with score, rank and reason; a score of 0 or less is no suggestion."""
-    scored = signals(g, candidates(g, prs, changed, now, rules), changed, now, rules).withColumn("score", F.bround(score(), 4))
+    changed = checkpointed(changed)
+    seen = evidence(g, changed, now, kept=True)
+    pool = checkpointed(candidates(g, prs, changed, now, rules, seen))
+    scored = signals(g, pool, changed, now, rules, seen).withColumn("score", F.bround(score(), 4))
     place = F.row_number().over(W.partitionBy("pull_request_id").orderBy(F.desc("score"), "login"))
     return scored.where(F.col("score") > 0).withColumn("rank", place).where(F.col("rank") <= top).select("pull_request_id", "login", "is_team", "score", "rank", rationale().alias("rationale"))
