@@ -17,11 +17,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder of spark.checkpoint.dir and read from there.
 
     A lost executor then costs no more than the task it ran. The folder is
-    the session's own; only where none is set, as in tests, one is made.
+    the session's own; only in a local session without one, as in tests, a
+    temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lithograph-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lithograph-"))
     return df.checkpoint()
 
 

@@ -108,3 +108,11 @@ def test_merges(spark):
     new = spark.createDataFrame([("a", 9, "z"), (None, 8, "q"), ("b", 7, "r"), ("b", 7, "r")], "k string, v int, w string")
     assert sorted(map(tuple, merge.upserted(old, new, ["k"], ["v"]).collect()), key=str) == [("a", 9, "x"), ("b", 7, "r"), (None, 8, "y")]
     assert merge.without(old, new.where("k = 'a'").select("k"), "k").count() == 1
+
+
+def test_repositories_and_bookmarks(spark):
+    shape = "id string, owner string, name string, last_indexed_sha string"
+    old = spark.createDataFrame([("1", "a", "x", "s0")], shape)
+    both = merge.repositories_ensured(old, spark.createDataFrame([("9", "a", "x", "new"), ("2", "a", "y", None)], shape))
+    marked = merge.bookmarked(both, spark.createDataFrame([("2", "s1")], "id string, head_sha string"))
+    assert sorted(map(tuple, marked.collect())) == [("1", "a", "x", "s0"), ("2", "a", "y", "s1")]

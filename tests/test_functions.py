@@ -152,3 +152,20 @@ def test_tree_scan(spark, tmp_path):
     assert [(r.path, r.title, r.status) for r in tree.adr_files(spark, str(tmp_path)).collect()] == [("docs/adr/one.md", "T", "accepted")]
     owners = spark.createDataFrame([("r", "CODEOWNERS", "* @a"), ("r", "docs/CODEOWNERS", "* @b")], "repository_id string, path string, content string")
     assert tree.owner_file(owners).first().content == "* @b"
+
+
+def test_snippets_and_modules(spark):
+    callers = spark.createDataFrame([("r", "a.py", 2, 3, "f(x)"), ("r", "b.py", 1, 1, "g()"), ("r", "a.py", 9, 9, None)], "repository_id string, path string, start_line int, end_line int, signature string")
+    sources = spark.createDataFrame([("r", "a.py", "1\n2\n3\n4")], "repository_id string, path string, content string")
+    assert sorted(r.snippet for r in tree.caller_snippets(callers, sources).collect()) == ["\n    ...", "2\n3", "g()\n    ..."]
+    files = spark.createDataFrame([("src/a/x.py",), ("src/ab/x.py",), ("src/a/../../etc.py",), ("src/a/y.txt",)], "path string")
+    assert [r.path for r in tree.module_files(files, "src/a").collect()] == ["src/a/x.py"]
+
+
+def test_change_table(spark):
+    from lithograph.schemas import TABLES, checked_vector, conform
+
+    for table in TABLES:
+        assert conform(spark.range(1), table).count() == 1
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "v array<float>")
+    assert [r.v for r in checked_vector(df, "v", 2).collect()] == [[1.0, 2.0], None, None]
