@@ -185,12 +185,12 @@ def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     boxed = rows.where(F.length("box") > 0)
     votes = boxed.groupBy("box", "domain").agg(
         F.count("*").alias("size"), F.max("named").alias("named"),
-        F.mode(F.when(F.col("named"), F.col("family"))).alias("family"),
-        F.mode(F.when(F.length("box_given") > 2, F.col("box_given"))).alias("spelled"),
-        F.mode(F.when(F.length("typed") > 1, F.col("typed"))).alias("typed"),
+        F.mode(F.when(F.col("named"), F.col("family")), True).alias("family"),
+        F.mode(F.when(F.length("box_given") > 2, F.col("box_given")), True).alias("spelled"),
+        F.mode(F.when(F.length("typed") > 1, F.col("typed")), True).alias("typed"),
         F.max(F.when(F.length("typed") == 1, F.col("typed"))).alias("initial"),
-        F.mode(F.when(F.length("login_given") > 2, F.col("login_given"))).alias("login_given"),
-        F.mode(F.when(F.length("family") > 0, F.col("family"))).alias("any_family"), F.min("id").alias("least"),
+        F.mode(F.when(F.length("login_given") > 2, F.col("login_given")), True).alias("login_given"),
+        F.mode(F.when(F.length("family") > 0, F.col("family")), True).alias("any_family"), F.min("id").alias("least"),
     )
     votes = votes.withColumn("given", F.coalesce("spelled", "typed", "login_given", "initial", F.lit("")))
     # A typed given name that is a known short form stands for its full name.

@@ -198,7 +198,8 @@ def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECA
     sample = _matrix(sampled.column(0), np.float32, dim)
     if not len(sample):
         sample = _matrix(vectors.select("vec").limit(1000).toArrow().column(0), np.float32, dim)
-    index = fit(sample, count, k, target)
+    # The order in which rows arrive differs from run to run; the index must not.
+    index = fit(sample[np.lexsort(sample.T[:4])], count, k, target)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
