@@ -28,7 +28,7 @@ def related_prs(g: q.Graph, prs: DataFrame, k: int = RELATED, pool: int = POOL,
     those of its author with little overlap and low scores then drop out, so
     fewer than ``k`` are usual. ``prs`` has id, number, author_id, embedding.
     """
-    # One more than the pool, since the pull request itself may be among them; it is dropped from the pool, as its own place counts.
+    # The pull request itself may be in the pool; it takes a place there and is dropped after.
     found = q.similar_prs(g, prs.select("id", "embedding"), pool, dim)
     paths = q.files_touched_by_pr(g).groupBy("pull_request_id").agg(F.collect_set("path").alias("paths"))
     asked = prs.select(F.col("id").alias("query_id"), F.col("number").alias("query_number"), F.col("author_id").alias("query_author")).join(paths.select(F.col("pull_request_id").alias("query_id"), F.col("paths").alias("query_paths")), "query_id", "left")
@@ -75,6 +75,7 @@ def risk_notes(g: q.Graph, changed: DataFrame, now: Column, churn: int = CHURN,
     """
     since = now - F.make_dt_interval(F.lit(days))
     sizes = changed.groupBy("pull_request_id").agg(F.sum(text.diff_lines(F.col("patch"))).alias("lines"), F.count("*").alias("files")).where(F.col("lines") > large)
+    # The sentences of the notes.
     big = sizes.select("pull_request_id", F.lit(-1).alias("ordinal"), F.lit(0).alias("kind"), F.format_string("Large PR: the diff touches %d lines across %d file(s).", "lines", "files").alias("note"))
     files = changed.select("pull_request_id", "ordinal", "repository_id", "path").join(q.file_by_path(g), ["repository_id", "path"])
     asked = files.select("file_id")

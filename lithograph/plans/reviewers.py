@@ -120,6 +120,7 @@ def rationale() -> Column:
     percent = lambda x: F.bround(x * 100).cast("int").cast("string")
     number = lambda name, one, many: F.concat(c(name).cast("string"), F.when(c(name) == 1, F.lit(one)).otherwise(F.lit(many)))
     busy = c("recent_review_count") >= REVIEWS
+    # The sentences.
     return (
         F.when(c("is_codeowner") & (F.size("authored_files") > 0), F.concat(F.lit("CODEOWNERS match for "), F.try_element_at("authored_files", F.lit(1)), F.lit(".")))
         .when(c("is_codeowner"), F.lit("CODEOWNERS match for the files touched by this PR."))
