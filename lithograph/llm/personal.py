@@ -269,8 +269,9 @@ def fit(texts: DataFrame, text: str, g: Gazetteers) -> Model:
         for batch in batches:
             cells: tuple[list, list] = ([], [])
             for value in batch.column(0).to_pylist():
-                for span in spans(value or ""):
-                    if zlib.crc32(f"{span[1]} {value}".encode("utf-8", "replace")) % share < keep:
+                # Whole texts are drawn, so the others need not be searched again.
+                if value and zlib.crc32(value.encode("utf-8", "replace")) % share < keep:
+                    for span in spans(value):
                         vote = votes(value, span, g)
                         cells[0].append(features(value, span, vote).tolist()), cells[1].append(real[(span[0], vote)])
             yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.list_(pa.int32())), pa.array(cells[1], pa.float64())], names=["features", "target"])
