@@ -8,7 +8,8 @@
 3. A list and its queries meet in blocks of bounded size, so that a list that
    holds a third of all vectors is work for many tasks. In a block, asymmetric
    distances (query against codes) choose the candidates and exact similarities
-   with the stored vectors rank them.
+   with the stored vectors rank them. Where the error of the codes leaves open
+   whether better ones were missed, the query is compared with the whole block.
 4. The best k of each query's blocks are merged.
 
 Queries travel in half precision; similarities that decide on a bound can be
@@ -36,7 +37,7 @@ SUB = 2
 TARGET_RECALL = 0.94
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
-#: Candidates per query and block that asymmetric distances let through, about.
+#: Candidates per query and block that asymmetric distances let through at first, about.
 CANDIDATES = 16
 #: Cells of a matrix of distances, so that it stays in a core's cache.
 _CELLS = 200_000
@@ -142,6 +143,14 @@ def _lists(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return near, codes
 
 
+def _ranked(row: np.ndarray, col: np.ndarray, true: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with their vectors and similarities, best first, and which of them are among the best k of the row."""
+    # Similarities lie within one of zero, so rows stay apart.
+    order = np.argsort(4.0 * row - true, kind="stable")
+    row, col, true = row[order], col[order], true[order]
+    return row, col, true, np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+
+
 def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes: np.ndarray, lists: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of queries with the vectors found for them and their similarities, best first."""
     # The sum of a query's table entries over a code is its product with the decoded code, so
@@ -155,6 +164,8 @@ def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes:
     if math.isfinite(bar) and bar > 0:
         bar -= (2.515517 + 0.802853 * bar + 0.010328 * bar**2) / (1 + 1.432788 * bar + 0.189269 * bar**2 + 0.001308 * bar**3)
     some = slice(None, None, max(1, len(d) // 256))
+    # What a code's similarity to a query of length one is off by at most.
+    error = float(np.sqrt(((d - decoded) ** 2).sum(axis=1).max()))
     for start in range(0, len(q), step):
         part = q[start : start + step]
         s = part @ decoded.T
@@ -163,21 +174,28 @@ def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes:
             mean = seen.mean(axis=1)
             kth = mean + bar * np.sqrt(np.maximum(np.einsum("ij,ij->i", seen, seen) / seen.shape[1] - mean**2, 1e-12))
             row, col = np.divmod(np.flatnonzero(s > kth[:, None]), len(d))
-            few = np.flatnonzero(np.bincount(row, minlength=len(part)) <= k)
-            if len(few):
-                take = min(len(d), k + 1)
-                more = np.argpartition(-s[few], take - 1, axis=1)[:, :take]
-                rest = ~np.isin(row, few)
-                row, col = np.concatenate((row[rest], np.repeat(few, take))), np.concatenate((col[rest], more.ravel()))
         else:
             row, col = np.divmod(np.arange(s.size), len(d))
         other = qn[start + row] != dn[col]
         row, col = row[other], col[other]
-        true = np.einsum("ij,ij->i", part[row], d[col])
-        # Similarities lie within one of zero, so rows stay apart.
-        order = np.argsort(4.0 * row - true, kind="stable")
-        row, col, true = row[order], col[order], true[order]
-        best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+        row, col, true, best = _ranked(row, col, np.einsum("ij,ij->i", part[row], d[col]), k)
+        if math.isfinite(bar):
+            # The k-th similarity found, -2 where fewer than k were let through.
+            last = np.full(len(part), -2, dtype=np.float32)
+            found_kth = np.arange(len(row)) - np.searchsorted(row, row, "left") == k - 1
+            last[row[found_kth]] = true[found_kth]
+            # Nothing below the bar can be more similar than the bar and the error of its code. Rows
+            # that this doesn't settle, as those of a cluster that the bar lies above, are computed exactly.
+            open_ = np.flatnonzero(last < kth + error * np.linalg.norm(part, axis=1))
+            if len(open_):
+                full = part[open_] @ d.T
+                full[qn[start + open_][:, None] == dn] = -2
+                least, short = last[open_] - 1e-6, np.flatnonzero(last[open_] == -2)
+                if len(short):
+                    least[short] = -np.partition(-full[short], min(k, len(d)) - 1, axis=1)[:, min(k, len(d)) - 1]
+                more, near = np.divmod(np.flatnonzero((full >= least[:, None]) & (full > -2)), len(d))
+                rest = ~np.isin(row, open_)
+                row, col, true, best = _ranked(np.concatenate((row[rest], open_[more])), np.concatenate((col[rest], near)), np.concatenate((true[rest], full[more, near])), k)
         for to, x in zip(found, (start + row[best], dn[col[best]], true[best]), strict=True):
             to.append(x)
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(found, (np.int64, np.int64, np.float32), strict=True))

@@ -45,6 +45,22 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(k not in {o for _, o in v} and len(v) <= 5 for k, v in got.items())
 
 
+def test_dense_cluster_is_ranked_exactly():
+    rng = np.random.default_rng(3)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # Half of the block is one cluster: mean and deviation put the bar above all of it.
+    x = unit(np.concatenate((rng.normal(size=(400, DIM)), rng.normal(size=(1, DIM)) + 0.02 * rng.normal(size=(400, DIM)))))
+    index = neighbours.fit(x, len(x), 5)
+    lists, codes = neighbours._lists(x, index)
+    n = np.arange(len(x))
+    row, other, similarity = neighbours._search(x, n, x, n, codes, lists, index, 5)
+    true = x @ x.T
+    np.fill_diagonal(true, -2)
+    assert np.bincount(row, minlength=len(x)).tolist() == [5] * len(x)
+    assert np.allclose(similarity.reshape(-1, 5), -np.sort(-true, axis=1)[:, :5], atol=1e-5)
+    assert (row != other).all()
+
+
 def test_unusable_vectors_and_copies(spark):
     good = [1.0] * DIM
     data = [("a", good, "x"), ("b", [2.0] * DIM, "x"), ("a", good, "x"), ("c", None, "x"), ("d", [], "x"), ("e", [0.0] * DIM, "x"), ("f", [1.0] * 3, "x"), ("g", [float("nan")] + good[1:], "x"), ("h", [float("inf")] + good[1:], "x"), (None, good, "x"), ("i", [1.0, -1.0] * (DIM // 2), "x"), ("j", [None] + good[1:], "x")]
