@@ -16,7 +16,9 @@
 4. Variants that no form explains are forms of their own by their full name.
 
 Forms are reached by keys (the family name with one letter left out), never by
-comparing all pairs; automation accounts take no part.
+comparing all pairs; automation accounts take no part. Family names below
+``FUZZY`` letters count too, but only as written: no slips, and as part of a
+mailbox only between its separators or beside the given name or its initial.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ _NOTE = re.compile(r"\(.*?\)|\[.*?\]|\s[|–-]\s.*$|\|.*$|,\s*(?:ph\.?d|m\.?d|jr
 _SAME, _INITIAL, _TYPO, _UNSEEN_NICK = 0.0, -1.5, -3.5, -2.0
 #: A variant joins a form only if its posterior among all candidates exceeds this.
 POSTERIOR = 0.5
+#: Letters from which a family name may have a slip and is looked for anywhere in a mailbox; letters of a family name at least.
+FUZZY, LEAST = 4, 2
 
 
 def plain(text: str) -> str:
@@ -109,13 +113,13 @@ def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 box = domain = ""
             first, last = tokens(name, handle)
             parts = [p for p in re.split(r"[-_.]", base) if p]
-            rows.append((key, first, last, parts[0] if len(parts) == 2 else "", parts[1] if len(parts) == 2 else "", "".join(parts), re.sub(r"[^a-z0-9]", "", box), domain))
-        yield pd.DataFrame(rows, columns=["id", "first", "last", "part1", "part2", "handle", "box", "domain"])
+            rows.append((key, first, last, parts[0] if len(parts) == 2 else "", parts[1] if len(parts) == 2 else "", "".join(parts), re.sub(r"[^a-z0-9]", "", box), domain, [w for w in (re.sub(r"\d+$", "", p) for p in re.split(r"[^a-z0-9]+", box)) if w]))
+        yield pd.DataFrame(rows, columns=["id", "first", "last", "part1", "part2", "handle", "box", "domain", "box_parts"])
 
 
 def _within(word: Column, text: Column) -> Column:
-    """Whether a word of four letters or more is part of a text."""
-    return (F.length(word) >= 4) & text.contains(word)
+    """Whether a word of FUZZY letters or more is part of a text."""
+    return (F.length(word) >= FUZZY) & text.contains(word)
 
 
 def _rest(text: Column, family: Column) -> Column:
@@ -133,7 +137,7 @@ def people(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     """
     rows = once(df.select(F.col(key).alias("id"), F.col(login).cast("string").alias("login"), F.col(name).cast("string").alias("name"), F.col(email).cast("string").alias("email")).where(F.col("id").isNotNull()), "id")
     kind = rows.schema["id"].dataType.simpleString()
-    parsed = checkpointed(rows.mapInPandas(_parsed, f"id {kind}, first string, last string, part1 string, part2 string, handle string, box string, domain string"))
+    parsed = checkpointed(rows.mapInPandas(_parsed, f"id {kind}, first string, last string, part1 string, part2 string, handle string, box string, domain string, box_parts array<string>"))
     # How many different initials the words beside a word have: given names stand beside many families.
     word_pairs = F.explode(F.array(*[F.struct(F.col(a).alias("word"), F.substr(b, F.lit(1), F.lit(1)).alias("beside")) for a, b in (("first", "last"), ("last", "first"), ("part1", "part2"), ("part2", "part1"))]))
     used = parsed.select(word_pairs.alias("w")).select("w.*").where((F.length("word") > 1) & (F.length("beside") > 0)).groupBy("word").agg(F.count_distinct("beside").alias("n"))
@@ -146,12 +150,23 @@ def people(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     login_family = F.when(often("part1") > often("part2"), F.col("part2")).otherwise(F.col("part1"))
     rows = parsed.withColumn("family", F.when(F.length(family) > 0, family).otherwise(login_family)).withColumn("given", F.when(F.length(family) > 0, given).otherwise(F.lit("")))
     # The given name spelled out: by the mailbox, else by the name, else by the login.
-    box_given, login_given = _rest(F.col("box"), F.col("family")), _rest(F.col("handle"), F.col("family"))
-    named = _within(F.col("family"), F.col("box"))
+    short = F.length("family").between(LEAST, FUZZY - 1)
+    beside = F.when(F.col("part1") == F.col("family"), F.col("part2")).when(F.col("part2") == F.col("family"), F.col("part1")).otherwise(F.lit(""))
+    login_given = F.when(short, beside).otherwise(_rest(F.col("handle"), F.col("family")))
+    typed = F.when(F.length("given") > 0, F.col("given")).when(F.length(login_given) > 0, login_given).otherwise(F.lit(""))
+    # A short family name is a part of the mailbox of its own, or the mailbox is made of it and the given name or its initial.
+    bare, first = F.regexp_replace("box", r"\d+$", ""), F.substr(typed, F.lit(1), F.lit(1))
+    apart = F.array_contains("box_parts", F.col("family"))
+    joined = (F.length(typed) > 1) & ((bare == F.concat(typed, "family")) | (bare == F.concat("family", typed)))
+    abridged = (F.length(typed) > 0) & ((bare == F.concat(first, "family")) | (bare == F.concat("family", first)))
+    rest = F.when(apart, F.array_join(F.array_remove("box_parts", F.col("family")), "")).when(joined, typed).otherwise(F.lit(""))
+    named = F.when(short, apart | joined | abridged).otherwise(_within(F.col("family"), F.col("box")))
+    box_given = F.when(short, rest).otherwise(_rest(F.col("box"), F.col("family")))
+    spelled = (F.length(box_given) > 2) | (short & (F.length(box_given) > 1) & (box_given == typed))
     return rows.select(
         "id", "box", "domain", "family", "handle",
-        F.when(F.length("given") > 0, F.col("given")).when(F.length(login_given) > 0, login_given).otherwise(F.lit("")).alias("typed"),
-        F.when(named & (F.length(box_given) > 2), box_given).otherwise(F.lit("")).alias("box_given"),
+        typed.alias("typed"),
+        F.when(named & spelled, box_given).otherwise(F.lit("")).alias("box_given"),
         F.when(F.length(login_given) > 2, login_given).otherwise(F.lit("")).alias("login_given"),
         (F.length("given") > 0).alias("has_name"), named.alias("named"),
     )
@@ -168,8 +183,8 @@ def channel(rows: DataFrame) -> DataFrame:
 
 
 def _keys(word: Column) -> Column:
-    """The word and all it becomes when one letter is left out: shared by words one slip apart."""
-    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))))
+    """The word and all it becomes when one letter is left out: shared by words one slip apart. Words below FUZZY letters share theirs with none but themselves."""
+    return F.when(F.length(word) < FUZZY, F.array(F.concat(F.lit("="), word))).otherwise(F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))))))
 
 
 def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: str = "name", email: str = "email") -> DataFrame:
@@ -186,7 +201,7 @@ def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     votes = boxed.groupBy("box", "domain").agg(
         F.count("*").alias("size"), F.max("named").alias("named"),
         F.mode(F.when(F.col("named"), F.col("family")), True).alias("family"),
-        F.mode(F.when(F.length("box_given") > 2, F.col("box_given")), True).alias("spelled"),
+        F.mode(F.when(F.length("box_given") > 1, F.col("box_given")), True).alias("spelled"),
         F.mode(F.when(F.length("typed") > 1, F.col("typed")), True).alias("typed"),
         F.max(F.when(F.length("typed") == 1, F.col("typed"))).alias("initial"),
         F.mode(F.when(F.length("login_given") > 2, F.col("login_given")), True).alias("login_given"),
@@ -198,7 +213,7 @@ def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     votes = votes.join(full, F.col("given") == F.col("short"), "left").withColumn("whole", F.coalesce("whole", "given")).drop("short")
     votes = checkpointed(votes)
     # A spelling that three families use is a name and no slip; short forms of other names are left to the channel.
-    written = rows.where(F.length("family") >= 4).select("family", F.explode(F.array("box_given", "typed")).alias("name")).where(F.length("name") > 2)
+    written = rows.where(F.length("family") >= LEAST).select("family", F.explode(F.array("box_given", "typed")).alias("name")).where(F.length("name") > 2)
     names = written.groupBy("name").agg(F.count_distinct("family").alias("n")).where(F.col("n") > 2).join(full, F.col("name") == F.col("short"), "left_anti").select("name", F.lit(True).alias("is_name"))
     # A name that two addresses of one domain bear is known to be shared; it links nothing across domains.
     bearers = votes.where("named")
@@ -219,10 +234,10 @@ def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     unsure = forms.where(~F.col("canonical")).select(F.col("form").alias("variant"), "family", F.col("whole").alias("typed"), F.lit(None).cast("string").alias("login_given"), F.col("person").alias("least"), "domains")
     variants = nameless.unionByName(alone).unionByName(unsure).withColumn("typed", F.when((F.length("typed") <= 1) & F.col("login_given").isNotNull(), F.col("login_given")).otherwise(F.col("typed")))
     variants = checkpointed(variants)
-    usable = variants.where((F.length("family") >= 4) & (F.length("typed") >= 1))
+    usable = variants.where((F.length("family") >= LEAST) & (F.length("typed") >= 1))
     # 3. Posterior over the forms that share a key of the family name and have no other address at the variant's domain.
     left = usable.select("variant", F.col("family").alias("v_family"), "typed", F.col("domains").alias("v_domains"), F.explode(_keys(F.col("family"))).alias("slip"))
-    right = canonical.where(F.length("family") >= 4).select("person", "family", "whole", F.col("given").alias("form_given"), "size", "domains", F.explode(_keys(F.col("family"))).alias("slip"))
+    right = canonical.where(F.length("family") >= LEAST).select("person", "family", "whole", F.col("given").alias("form_given"), "size", "domains", F.explode(_keys(F.col("family"))).alias("slip"))
     pairs = left.join(right, "slip").where(~F.arrays_overlap("v_domains", "domains")).select("variant", "v_family", "typed", "person", "family", "whole", "form_given", "size").distinct()
     slips = F.levenshtein(F.col("v_family"), F.col("family"))
     initial = F.length("typed") == 1
@@ -245,7 +260,7 @@ def linked(df: DataFrame, key: str = "id", login: str = "github_login", name: st
     attached = checkpointed(best.where(F.exp("top") > POSTERIOR * F.col("mass")).select("variant", "person"))
     # 4. The rest: forms by their full name.
     rest = variants.join(attached, "variant", "left_anti").join(full, F.col("typed") == F.col("short"), "left").withColumn("whole", F.coalesce("whole", "typed"))
-    own = F.when((F.length("family") >= 4) & (F.length("whole") > 1) & (F.size("domains") == 0), F.concat_ws(" ", "whole", "family")).otherwise(F.col("variant"))
+    own = F.when((F.length("family") >= LEAST) & (F.length("whole") > 1) & (F.size("domains") == 0), F.concat_ws(" ", "whole", "family")).otherwise(F.col("variant"))
     grouped = rest.select("variant", "least", own.alias("form"))
     formed = grouped.join(grouped.groupBy("form").agg(F.min("least").alias("person")), "form").select("variant", "person")
     decided = attached.unionByName(formed).unionByName(canonical.select(F.col("form").alias("variant"), "person"))

@@ -39,6 +39,19 @@ def test_short_names_and_initials(groups):
     assert frozenset({"f1", "f2", "f3"}) in groups and frozenset({"g1", "g2"}) in groups
 
 
+def test_short_family_names_match_exactly(spark):
+    people = [
+        ("a1", "fox1", "Wei Li", "wei.li@corp.example"), ("a2", "fox2", "Wei Li", "wei.li@home.test"), ("a3", "fox3", "Wei Li", None), ("a4", "fox4", "Li, Wei", "misty.owl@other.test"),
+        ("b1", "owl1", "Linda Roy", "linda.roy@corp.example"), ("b2", "owl2", "Linda Roy", "royl@home.test"), ("b3", "linda-roy", None, None), ("b4", "owl4", "Linda Royo", None), ("h1", "owl5", "Linda Zelkova", None),
+        ("c1", "elk1", "Bo Wu", "bo.wu@corp.example"), ("c2", "elk2", "Bo Wu", "bo-wu@home.test"), ("d1", "elk3", "Greta Kim", None), ("d2", "elk4", "Greta Kim", None), ("e1", "elk5", "Greta Kimm", None),
+        ("f1", "bat1", "Ute Ng", "ung@corp.example"), ("f2", "bat2", "Ute Ng", "ung2@corp.example"), ("g1", "bat3", "Ada Lee", "sleek@corp.example"), ("g2", "bat4", "Eva Lee", "sleek@home.test"),
+    ]
+    out = {}
+    for r in identities.linked(spark.createDataFrame(people, "id string, github_login string, name string, email string")).collect():
+        out.setdefault(r.person, set()).add(r.id)
+    assert sorted(sorted(v) for v in out.values()) == [["a1", "a2", "a3", "a4"], ["b1", "b2", "b3"], ["b4"], ["c1", "c2"], ["d1", "d2"], ["e1"], ["f1"], ["f2"], ["g1"], ["g2"], ["h1"]]
+
+
 def test_pairs_and_empty(spark):
     links = spark.createDataFrame([("b", "a"), ("a", "a"), ("c", "a"), ("x", "x")], "id string, person string")
     assert sorted(map(tuple, identities.pairs(links).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
