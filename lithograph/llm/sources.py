@@ -40,8 +40,9 @@ VENDORED_HEADER = (
     r"|upstream fixes go|\(c\) the [\w.-]+ (?:contributors|authors|developers)|spdx-filecopyrighttext:\s*[\w.-]+ (?:maintainers|contributors|authors)"
 )
 MINIFIED_MARK = r"(?m)^\s*(?://|/\*)[#@] sourceMappingURL="
-#: The comment at the top of a file, line by line, at most 40 lines; a docstring is code and not part of it.
-_HEAD = r"^(?:\s*+(?://|#|--|/\*|\*|<!--|;)[^\n]*+(?:\n|$)){1,40}"
+#: The whole comment at the top of a file, blocks up to their closing sign (or the end, if none) and lines; a docstring is code and not part of it.
+#: What follows a closing sign on its line is read too. All parts are possessive, so a text is passed once, however long its comment.
+_HEAD = r"^\ufeff?+(?:\s*+(?:/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|(?://|#|--|\*|;)[^\n]*+(?:\n|\z)))++"
 # Letters, digits and signs of base64, or escaped bytes, in one run. Words and paths are shorter or have no digits.
 _ENCODED = r"(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}|(?=[A-Za-z0-9+/_]{0,200}[0-9])(?=[A-Za-z0-9+/_]{0,200}[a-z])[A-Za-z0-9+/_]{56,}={0,2}"
 _NUMBER = r"(?<![\w.#])[-+]?(?:\d+\.\d+|\d+)(?:[eE][-+]?\d+)?(?![\w.])"

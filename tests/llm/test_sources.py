@@ -43,6 +43,27 @@ def test_very_long_text_and_empty_table(spark):
     assert sources.classified(df).count() == 2 and sources.classified(df.limit(0)).count() == 0
 
 
+SIGN = "Code generated by tool v1; DO NOT EDIT.\n"
+LICENCE = "".join("as is " * (1 + i % 3) + "licence\n" for i in range(90))
+HEADS = [
+    ("a.py", "".join(f"# {x}\n" for x in (LICENCE + SIGN).splitlines()) + CODE, "generated"),
+    ("a.js", "/*\n" + LICENCE + "\n" + SIGN + "*/\n" + CODE, "generated"),
+    ("a.html", "<!--\n" + LICENCE + "a -- b\n" + SIGN + "-->\n" + CODE, "generated"),
+    ("a.c", "/* one */ /* two\n" + SIGN + "*/\n" + CODE, "generated"),
+    ("a.css", "/*\n" + LICENCE + "*/\n/*\nVendored copy of thing 1.2\n*/\n" + CODE, "vendored"),
+    ("a.js", "/*\n" + LICENCE + "*/\n" + CODE + "/* " + SIGN + "*/\n", "hand_written"),
+    ("a.html", "<!-- one -->\n" + CODE + "<!--\n" + SIGN + "-->\n", "hand_written"),
+    ("a.js", "/*\n" + "x * y\nx y z\n" * 50_000 + SIGN + "*/\n" + CODE, "generated"),
+    ("a.py", "# x\n# x y\n" * 50_000 + "# " + SIGN + CODE, "generated"),
+]
+
+
+def test_whole_leading_comment(spark):
+    df = spark.createDataFrame([(i, *h[:2], "") for i, h in enumerate(HEADS)] + [(100 + i, f"{i}.{e}", CODE, "") for i in range(20) for e in ("js", "html", "c", "css", "py")], "id int, path string, content string, language string")
+    got = {r.id: r.origin for r in sources.classified(df).collect()}
+    assert [got[i] for i in range(len(HEADS))] == [h[2] for h in HEADS]
+
+
 def test_language(spark):
     from pyspark.sql import functions as F
 
