@@ -30,8 +30,14 @@ def _built(g: q.Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     return parsed, symbols, build.resolved_calls(parsed, symbols, parsed)
 
 
+def _versions(g: q.Graph) -> DataFrame:
+    """file_id, repository_id, path, content of every text, each version of a path; the middle two are null for a file that isn't known."""
+    files = once(g["files"].select(F.col("id").alias("file_id"), "repository_id", "path"), "file_id")
+    return once(g["source_texts"].select("file_id", "content"), "file_id").join(files, "file_id", "left")
+
+
 def _exploded(column: str) -> Callable[[q.Graph], DataFrame]:
-    return lambda g: extracted(_sources(g)).select("repository_id", "path", F.explode(column).alias("x")).select("repository_id", "path", "x.*")
+    return lambda g: extracted(_versions(g)).select("file_id", "repository_id", "path", F.explode(column).alias("x")).select("file_id", "repository_id", "path", "x.*")
 
 
 def _bodies(g: q.Graph) -> DataFrame:

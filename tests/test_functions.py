@@ -169,3 +169,17 @@ def test_change_table(spark):
         assert conform(spark.range(1), table).count() == 1
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "v array<float>")
     assert [r.v for r in checked_vector(df, "v", 2).collect()] == [[1.0, 2.0], None, None]
+
+
+def test_every_version_is_extracted(spark):
+    from lithograph.functions import queries
+
+    text = "import os\n\n\ndef f{0}():\n    g{0}()\n"
+    g = {
+        "files": spark.createDataFrame([("v1", "r", "a.py"), ("v2", "r", "a.py"), ("v2", "r", "a.py")], "id string, repository_id string, path string"),
+        "source_texts": spark.createDataFrame([("v1", text.format(1)), ("v2", text.format(2)), ("v2", text.format(2)), ("v3", text.format(3)), ("v4", None)], "file_id string, content string"),
+    }
+    where = [("v1", "a.py"), ("v2", "a.py"), ("v3", None)]
+    rows = {name: sorted((r.file_id, r.path, r[3:]) for r in queries._PLANS[name](g).collect()) for name in ("x1_symbols", "x3_imports", "x4_calls")}
+    assert all([r[:2] for r in found] == where for found in rows.values())
+    assert [r[2][0] for r in rows["x1_symbols"]] == ["f1", "f2", "f3"] and [r[2][1] for r in rows["x4_calls"]] == ["g1", "g2", "g3"]
