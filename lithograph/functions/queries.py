@@ -50,12 +50,17 @@ def _upserted(g: q.Graph) -> DataFrame:
     return upserted(current, g["issues"].select("repository_id", "number", "title", "state"), ["repository_id", "number"], ["state"])
 
 
+def _conventions(g: q.Graph, changed: DataFrame) -> DataFrame:
+    """Convention findings of the pull requests of ``changed``."""
+    texts = _sources(g).join(changed.select("repository_id", "path", "pull_request_id"), ["repository_id", "path"])
+    return conflicts.convention_findings(texts.select(F.col("pull_request_id").alias("key"), "path", "content", F.lit(True).alias("changed")), "src/")
+
+
 def _payloads(g: q.Graph) -> DataFrame:
     prs = asked(g)
     ids = prs.select(F.col("id").alias("pull_request_id"))
     changed = checkpointed(changed_files(g).join(ids, "pull_request_id", "left_semi"))
-    texts = _sources(g).join(changed.select("repository_id", "path", "pull_request_id"), ["repository_id", "path"])
-    found = conflicts.convention_findings(texts.select(F.col("pull_request_id").alias("key"), "path", "content", F.lit(True).alias("changed")), "src/")
+    found = _conventions(g, changed)
     ranked = reviewers.ranked(g, with_login(g).join(ids, F.col("id") == F.col("pull_request_id"), "left_semi"), changed, now())
     return payload.payloads(prs, found, context.packets(g, prs, changed, now(), churn=CHURN), ranked)
 
@@ -78,6 +83,9 @@ _PLANS: dict[str, Callable[[q.Graph], DataFrame]] = {
     "i5_dropped_calls": lambda g: build.dropped(_built(g)[2]),
     "c11_architectural": lambda g: conflicts.architectural_questions(g, asked(g).select("id", "embedding")).withColumn("similarity", F.round("similarity", 6)),
     "c13_payloads": _payloads,
+    # Without the searches, over all pull requests.
+    "x9_convention_findings": lambda g: _conventions(g, changed_files(g)),
+    "c13_convention_payloads": lambda g: payload.payloads(g["pull_requests"], _conventions(g, changed_files(g))),
 }
 
 

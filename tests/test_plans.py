@@ -115,3 +115,13 @@ def test_coordinator_isolates_failures():
     begun = time.monotonic()
     out = payload.coordinate({"good": lambda: 1, "bad": fail, "late": lambda: time.sleep(3)}, timeout=0.3)
     assert [(o.name, o.result is None) for o in out] == [("good", False), ("bad", True), ("late", True)] and time.monotonic() - begun < 2
+
+
+def test_conventions_of_every_pull_request(spark):
+    from lithograph.functions import queries
+
+    text = "from app.exceptions import Bad\n\n\ndef pay(x) -> tuple[bool, str]:\n    return False, x\n"
+    g = {**graph(spark), "source_texts": spark.createDataFrame([("B", text), ("A", text)], "file_id string, content string")}
+    assert [(r.pull_request_id, r.title) for r in queries._PLANS["x9_convention_findings"](g).collect()] == [("p42", "Status tuple in pay")]
+    row = queries._PLANS["c13_convention_payloads"](g).first()
+    assert row.pull_request_id == "p42" and "Status tuple in pay" in row.review
