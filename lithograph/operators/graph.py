@@ -147,15 +147,24 @@ def call_graph_overlap_counts(g: Graph, file_sets: DataFrame, since: Column) ->
     """Q17: for sets of files (set_id, file_id), distinct neighbours in the call graph that a person changed since then.
 
     Neighbours are callees and callers of the files' symbols; symbols of the
-    files themselves are neighbours too if they call each other.
+    files themselves are neighbours too if they call each other. Neighbours are
+    found once per file, and those that the same people changed are counted
+    together before people come in, so a hub costs a row per set and not one
+    per set and person.
     """
-    own = file_sets.select("set_id", "file_id").distinct().join(g["symbols"].select(F.col("id").alias("symbol_id"), "file_id"), "file_id").select("set_id", "symbol_id").distinct()
-    edges = g["symbol_calls"].select("caller_id", "callee_id").distinct()
-    both = edges.select(F.col("caller_id").alias("symbol_id"), F.col("callee_id").alias("neighbour_id")).unionByName(edges.select(F.col("callee_id").alias("symbol_id"), F.col("caller_id").alias("neighbour_id"))).distinct()
-    near = own.join(both, "symbol_id").select("set_id", F.col("neighbour_id").alias("symbol_id")).distinct()
+    sets = file_sets.select("set_id", "file_id").distinct()
     commits = g["commits"].where((F.col("committed_at") >= since) & F.col("author_id").isNotNull()).select(F.col("id").alias("commit_id"), F.col("author_id").alias("person_id"))
     changed = g["commit_modifies_symbol"].select("commit_id", "symbol_id").join(commits, "commit_id").select("symbol_id", "person_id").distinct()
-    return near.join(changed, "symbol_id").groupBy("set_id", "person_id").agg(F.count("*").alias("n"))
+    # A set of people is known by its size and 128 bits of hashes, so none is ever gathered in one row.
+    people = F.struct(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(salt), "person_id")).alias(salt) for salt in ("a", "b")])
+    crowds = changed.groupBy("symbol_id").agg(people.alias("crowd"))
+    members = changed.join(crowds.groupBy("crowd").agg(F.min("symbol_id").alias("symbol_id")), "symbol_id").select("crowd", "person_id")
+    edges = g["symbol_calls"].select("caller_id", "callee_id").distinct()
+    both = edges.select(F.col("caller_id").alias("id"), F.col("callee_id").alias("symbol_id")).unionByName(edges.select(F.col("callee_id").alias("id"), F.col("caller_id").alias("symbol_id")))
+    own = _among(g["symbols"].select("id", "file_id").distinct(), sets.select("file_id"), "file_id")
+    near = both.join(own, "id").select("file_id", "symbol_id").distinct().join(crowds, "symbol_id")
+    counts = sets.join(near, "file_id").select("set_id", "crowd", "symbol_id").distinct().groupBy("set_id", "crowd").agg(F.count("*").alias("n"))
+    return counts.join(members, "crowd").groupBy("set_id", "person_id").agg(F.sum("n").alias("n"))
 
 
 def codeowners_for(g: Graph, paths: DataFrame | None = None) -> DataFrame:
@@ -167,36 +176,41 @@ def codeowners_for(g: Graph, paths: DataFrame | None = None) -> DataFrame:
     return counts.join(_logins(g), "person_id").select("path", "person_id", "login", "n")
 
 
-def symbol_by_qualified_name(g: Graph, keys: DataFrame, wildcards: bool = False) -> DataFrame:
+def symbol_by_qualified_name(g: Graph, keys: DataFrame) -> DataFrame:
     """Q19: repository_id, name with the symbol of that qualified name, or else the only one whose name ends in it after a dot.
 
     Of several exact matches the least id is taken; several that end in the
-    name are none. Suffixes are indexed, so both steps are equi-joins. With
-    ``wildcards``, an underscore in a name stands for any character, as in LIKE;
-    such names meet the suffixes of their length.
+    name are none. An underscore in a name stands for any character, as in
+    LIKE; a percent sign, which no symbol's name has, only for itself. Every
+    step is an equi-join: dotted endings are blanked out where a name of their
+    length and repository has its underscores, and then meet that name.
     """
     names = keys.select("repository_id", "name").where(F.col("name").isNotNull()).distinct()
     symbols = g["symbols"].select("repository_id", F.col("id").alias("symbol_id"), "qualified_name")
     exact = symbols.groupBy("repository_id", F.col("qualified_name").alias("name")).agg(F.min_by(F.struct("symbol_id", "qualified_name"), "symbol_id").alias("s"))
     hit = names.join(exact, ["repository_id", "name"])
-    missed = names.join(hit, ["repository_id", "name"], "left_anti")
+    missed = names.join(hit, ["repository_id", "name"], "left_anti").withColumn("mask", F.regexp_replace("name", "[^_]", "."))
     parts = F.split("qualified_name", r"\.")
     tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    suffixes = symbols.where(F.col("qualified_name").contains(".")).select("repository_id", "symbol_id", "qualified_name", F.explode(tails).alias("suffix"))
-    if wildcards:
-        suffixes = suffixes.withColumn("length", F.length("suffix"))
-        matched = missed.withColumn("length", F.length("name")).join(suffixes, ["repository_id", "length"]).where(F.expr("qualified_name LIKE concat('%.', name)"))
-    else:
-        matched = missed.join(suffixes.withColumnRenamed("suffix", "name"), ["repository_id", "name"])
-    only = matched.groupBy("repository_id", "name").agg(F.count("*").alias("n"), F.min(F.struct("symbol_id", "qualified_name")).alias("s")).where(F.col("n") == 1)
+    endings = symbols.where(F.col("qualified_name").contains(".")).select("repository_id", "symbol_id", "qualified_name", F.explode(tails).alias("ending"))
+    masks = missed.select("repository_id", "mask").distinct().withColumn("size", F.length("mask"))
+    blanked = F.when(~F.col("mask").contains("_"), F.col("ending")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.when(F.substr("mask", i, F.lit(1)) == "_", "_").otherwise(F.substr("ending", i, F.lit(1)))), ""))
+    open_ = endings.withColumn("size", F.length("ending")).where(F.col("size") > 0).join(masks, ["repository_id", "size"]).select("repository_id", "mask", blanked.alias("name"), "symbol_id", "qualified_name")
+    matched = missed.join(open_, ["repository_id", "mask", "name"])
+    only = matched.groupBy("repository_id", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min(F.struct("symbol_id", "qualified_name")).alias("s")).where(F.col("n") == 1)
     return hit.select("repository_id", "name", "s.symbol_id", "s.qualified_name").unionByName(only.select("repository_id", "name", "s.symbol_id", "s.qualified_name"))
 
 
 def file_by_path(g: Graph, keys: DataFrame | None = None) -> DataFrame:
-    """Q20: repository_id, path with the id of its latest version: the one touched last, else the least id."""
-    latest = g["commit_modifies_file"].select("commit_id", "file_id").join(g["commits"].select(F.col("id").alias("commit_id"), "committed_at"), "commit_id").groupBy("file_id").agg(F.max("committed_at").alias("at"))
-    files = g["files"].select(F.col("id").alias("file_id"), "repository_id", "path").join(latest, "file_id", "left")
+    """Q20: repository_id, path with the id of its latest version: the one touched last, else the least id.
+
+    With keys, only their files' touches are looked at.
+    """
+    files = g["files"].select(F.col("id").alias("file_id"), "repository_id", "path")
+    touches = g["commit_modifies_file"].select("commit_id", "file_id")
     if keys is not None:
         files = files.join(keys.select("repository_id", "path").distinct(), ["repository_id", "path"], "left_semi")
+        touches = _among(touches, files.select("file_id"), "file_id")
+    latest = touches.join(g["commits"].select(F.col("id").alias("commit_id"), "committed_at"), "commit_id").groupBy("file_id").agg(F.max("committed_at").alias("at"))
     order = F.struct(F.col("at").isNull(), -F.unix_micros(F.col("at").cast("timestamp")), "file_id")
-    return files.groupBy("repository_id", "path").agg(F.min_by("file_id", order).alias("file_id"))
+    return files.join(latest, "file_id", "left").groupBy("repository_id", "path").agg(F.min_by("file_id", order).alias("file_id"))

@@ -28,8 +28,10 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _last_names(g: q.Graph) -> DataFrame:
-    """Names to look up: the last part of every qualified name, and the whole."""
-    return g["symbols"].select("repository_id", F.element_at(F.split("qualified_name", r"\."), -1).alias("name")).unionByName(g["symbols"].select("repository_id", F.col("qualified_name").alias("name"))).distinct()
+    """Names to look up: the last part of every qualified name, the same with its second letter left open, and the whole."""
+    last = F.element_at(F.split("qualified_name", r"\."), -1)
+    names = F.explode(F.array(last, F.concat(F.substr(last, F.lit(1), F.lit(1)), F.lit("_"), F.substr(last, F.lit(3))), F.col("qualified_name")))
+    return g["symbols"].select("repository_id", names.alias("name")).distinct()
 
 
 def _pr_files(g: q.Graph) -> DataFrame:
@@ -113,10 +115,11 @@ _SQL = {
         SELECT n.set_id, c.author_id AS person_id, count(DISTINCT n.symbol_id) AS n FROM near n JOIN v_commit_modifies_symbol z ON z.symbol_id = n.symbol_id JOIN v_commits c ON c.id = z.commit_id
         WHERE c.committed_at >= {_S} AND c.author_id IS NOT NULL GROUP BY ALL""",
     "q18_codeowners_for": f"SELECT f.path, p.id AS person_id, p.github_login AS login, count(*) AS n {_TOUCH} JOIN v_files f ON f.id = m.file_id JOIN v_persons p ON p.id = c.author_id GROUP BY ALL",
-    "q19_symbol_by_name": """WITH names AS (SELECT repository_id, split_part(qualified_name, '.', -1) AS name FROM v_symbols UNION SELECT repository_id, qualified_name FROM v_symbols),
+    "q19_symbol_by_name": """WITH lasts AS (SELECT repository_id, split_part(qualified_name, '.', -1) AS name FROM v_symbols),
+        names AS (SELECT repository_id, name FROM lasts UNION SELECT repository_id, substr(name, 1, 1) || '_' || substr(name, 3) FROM lasts UNION SELECT repository_id, qualified_name FROM v_symbols),
         hit AS (SELECT n.repository_id, n.name, min(s.id) AS symbol_id, n.name AS qualified_name FROM names n JOIN v_symbols s ON s.repository_id = n.repository_id AND s.qualified_name = n.name GROUP BY ALL),
         miss AS (SELECT * FROM names n WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.repository_id = n.repository_id AND h.name = n.name))
-        SELECT * FROM hit UNION ALL SELECT m.repository_id, m.name, min(s.id), min(s.qualified_name) FROM miss m JOIN v_symbols s ON s.repository_id = m.repository_id AND ends_with(s.qualified_name, '.' || m.name) GROUP BY ALL HAVING count(*) = 1""",
+        SELECT * FROM hit UNION ALL SELECT m.repository_id, m.name, min(s.id), min(s.qualified_name) FROM miss m JOIN v_symbols s ON s.repository_id = m.repository_id AND s.qualified_name LIKE '%.' || m.name GROUP BY ALL HAVING count(*) = 1""",
     "q20_file_by_path": f"""WITH latest AS (SELECT m.file_id, max(c.committed_at) AS at {_TOUCH} GROUP BY 1),
         r AS (SELECT f.*, row_number() OVER (PARTITION BY f.repository_id, f.path ORDER BY l.at DESC NULLS LAST, f.id) AS n FROM v_files f LEFT JOIN latest l ON l.file_id = f.id) SELECT repository_id, path, id AS file_id FROM r WHERE n = 1""",
 }

@@ -30,7 +30,8 @@ def related_prs(g: q.Graph, prs: DataFrame, k: int = RELATED, pool: int = POOL,
     """
     # The pull request itself may be in the pool; it takes a place there and is dropped after.
     found = q.similar_prs(g, prs.select("id", "embedding"), pool, dim)
-    paths = q.files_touched_by_pr(g).groupBy("pull_request_id").agg(F.collect_set("path").alias("paths"))
+    compared = found.select("pull_request_id").unionByName(prs.select(F.col("id").alias("pull_request_id")))
+    paths = q.files_touched_by_pr(g, compared).groupBy("pull_request_id").agg(F.collect_set("path").alias("paths"))
     asked = prs.select(F.col("id").alias("query_id"), F.col("number").alias("query_number"), F.col("author_id").alias("query_author")).join(paths.select(F.col("pull_request_id").alias("query_id"), F.col("paths").alias("query_paths")), "query_id", "left")
     authors = g["pull_requests"].select(F.col("id").alias("pull_request_id"), "author_id")
     rows = found.join(asked, "query_id").join(paths, "pull_request_id", "left").join(authors, "pull_request_id")
@@ -53,7 +54,7 @@ def recent_history(g: q.Graph, changed: DataFrame, per_file: int = PER_FILE, in_
     ``changed`` has pull_request_id, ordinal, repository_id, path. Unknown
     paths are skipped; a commit appears once for each file it touched.
     """
-    files = changed.select("pull_request_id", "ordinal", "repository_id", "path").join(q.file_by_path(g), ["repository_id", "path"])
+    files = changed.select("pull_request_id", "ordinal", "repository_id", "path").join(q.file_by_path(g, changed), ["repository_id", "path"])
     commits = q.recent_commits_touching(g, files.select("file_id"), per_file)
     rows = files.join(commits, "file_id").withColumn("place", F.row_number().over(W.partitionBy("pull_request_id").orderBy("ordinal", "rank")))
     return rows.where(F.col("place") <= in_all).select("pull_request_id", "path", "sha", text.first_line(F.col("message")).alias("title"), "login", "committed_at", "place")
@@ -77,7 +78,7 @@ def risk_notes(g: q.Graph, changed: DataFrame, now: Column, churn: int = CHURN,
     sizes = changed.groupBy("pull_request_id").agg(F.sum(text.diff_lines(F.col("patch"))).alias("lines"), F.count("*").alias("files")).where(F.col("lines") > large)
     # The sentences of the notes.
     big = sizes.select("pull_request_id", F.lit(-1).alias("ordinal"), F.lit(0).alias("kind"), F.format_string("Large PR: the diff touches %d lines across %d file(s).", "lines", "files").alias("note"))
-    files = changed.select("pull_request_id", "ordinal", "repository_id", "path").join(q.file_by_path(g), ["repository_id", "path"])
+    files = changed.select("pull_request_id", "ordinal", "repository_id", "path").join(q.file_by_path(g, changed), ["repository_id", "path"])
     asked = files.select("file_id")
     reverts = q.revert_commits_touching(g, since, asked).groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", text.short_sha(F.col("sha")).alias("s"))))), lambda x: x["s"]), ", ").alias("shas"))
     reverted = files.join(reverts, "file_id").select("pull_request_id", "ordinal", F.lit(1).alias("kind"), F.format_string(f"Recently reverted: %s was touched by %d revert commit(s) in the last {days} days (%s).", "path", "n", "shas").alias("note"))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithograph.functions.paths import OWNER_FILES, owner_rules, owners_of, owners_united
 from lithograph.operators import graph as q
 from lithograph.plans import context, reviewers
+from lithograph.sources.tree import owner_file
 from lithograph.sources.views import graph, with_views
+from lithograph.tables import checkpointed
 
 NOW = "2024-12-31 00:00:00"
 CHURN = 5
@@ -32,6 +35,26 @@ def with_login(g: q.Graph) -> DataFrame:
     return g["pull_requests"].join(logins, "author_id", "left")
 
 
+def owner_files(g: q.Graph) -> DataFrame:
+    """repository_id, path, content of the repositories' owner files; one at a later place must not count."""
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    first = g["owner_lines"].groupBy("repository_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("content"))
+    places = F.explode(F.array(F.struct(F.lit(OWNER_FILES[0]).alias("path"), F.col("content")), F.struct(F.lit(OWNER_FILES[2]).alias("path"), F.lit("* @nobody").alias("content"))))
+    return first.select("repository_id", places.alias("f")).select("repository_id", "f.*")
+
+
+def rules(g: q.Graph) -> DataFrame:
+    """The owner rules of all repositories."""
+    return owner_rules(owner_file(owner_files(g)))
+
+
+def _signals(g: q.Graph) -> DataFrame:
+    changed = checkpointed(changed_files(g))
+    seen = reviewers.evidence(g, changed, now(), kept=True)
+    rows = reviewers.signals(g, reviewers.candidates(g, with_login(g), changed, now(), rules(g), seen), changed, now(), rules(g), seen)
+    return rows.select("pull_request_id", "login", "person_id", "is_team", "is_codeowner", F.round("authorship_share", 9).alias("authorship_share"), "recent_review_count", "call_graph_overlap", F.round("review_acceptance_rate", 9).alias("review_acceptance_rate"), "open_pr_load", "total_reviews")
+
+
 def asked(g: q.Graph) -> DataFrame:
     """The stated query set of searches: numbers divisible by 100."""
     return g["pull_requests"].where(F.col("number") % 100 == 0)
@@ -49,9 +72,11 @@ _PLANS: dict[str, Callable[[q.Graph], DataFrame]] = {
     "c4_linked_issues": lambda g: context.linked_issues(g, g["pull_requests"]).drop("place"),
     "c5_risk_notes": lambda g: context.risk_notes(g, changed_files(g), now(), churn=CHURN),
     "c6_packets": lambda g: context.packets(g, asked(g), changed_files(g).join(asked(g).select(F.col("id").alias("pull_request_id")), "pull_request_id", "left_semi"), now(), churn=CHURN),
-    "c7_candidates": lambda g: reviewers.candidates(g, with_login(g), changed_files(g), now()),
-    "c8_signals": lambda g: reviewers.signals(g, reviewers.candidates(g, with_login(g), changed_files(g), now()), changed_files(g), now()).withColumn("authorship_share", F.round("authorship_share", 9)).withColumn("review_acceptance_rate", F.round("review_acceptance_rate", 9)).drop("authored_files"),
-    "c10_reviewers": lambda g: reviewers.ranked(g, with_login(g), changed_files(g), now()),
+    "f5_owners": lambda g: owners_of(g["files"].select("repository_id", "path"), rules(g)).withColumn("owners", F.array_join("owners", " ")),
+    "a12_owners_united": lambda g: owners_united(changed_files(g), rules(g), "pull_request_id").withColumn("owners", F.array_join("owners", " ")),
+    "c7_candidates": lambda g: reviewers.candidates(g, with_login(g), changed_files(g), now(), rules(g)),
+    "c8_signals": _signals,
+    "c10_reviewers": lambda g: reviewers.ranked(g, with_login(g), changed_files(g), now(), rules(g)),
 }
 
 
@@ -77,17 +102,28 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, i
   SELECT asked.*, i.*, round(list_cosine_similarity(qv, CAST(i.embedding AS DOUBLE[])), 9) AS s FROM asked, (SELECT * FROM {items} WHERE {good}) i))"""
 
 
+# The last rule that matches; a pattern becomes a regular expression of its own here.
+_OWNED = r"""said AS (SELECT repository_id, line_no, string_split_regex(trim(line), '\s+') AS words FROM v_owner_lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
+parsed AS (SELECT repository_id, line_no, words[1] AS pattern, [w[2:] for w in words[2:] if starts_with(w, '@')] AS owners FROM said WHERE len(words) > 1),
+below AS (SELECT *, regexp_replace(regexp_replace(pattern, '^/', ''), '/$', '/**') AS body FROM parsed WHERE len(owners) > 0),
+free AS (SELECT *, CASE WHEN NOT starts_with(pattern, '/') AND NOT contains(body, '/') AND NOT starts_with(body, '**') THEN '**/' || body ELSE body END AS whole FROM below),
+written AS (SELECT repository_id, line_no, owners, replace(replace(replace(replace(replace(replace(replace(whole, '.', '[.]'), '+', '[+]'), '**/', chr(1)), '**', chr(1)), '*', '[^/]*'), '?', '[^/]'), chr(1), '.*') AS regex FROM free),
+owned AS (SELECT f.repository_id, f.path, arg_max(w.owners, w.line_no) AS owners FROM (SELECT DISTINCT repository_id, path FROM v_files) f JOIN written w ON w.repository_id = f.repository_id AND regexp_full_match(f.path, w.regex) GROUP BY 1, 2),
+owns AS (SELECT DISTINCT k.pull_request_id, unnest(o.owners) AS login FROM changed k JOIN owned o ON o.repository_id = k.repository_id AND o.path = k.path)"""
 _SIGNALS = f"""{_BASE},
+{_OWNED},
 authors AS (SELECT m.file_id, c.author_id AS person_id {_TOUCH} WHERE c.committed_at >= {_NOW} - INTERVAL 180 DAYS AND c.author_id IS NOT NULL GROUP BY ALL),
 reviews AS (SELECT m.file_id, r.reviewer_id AS person_id, count(DISTINCT r.id) AS n FROM v_reviews r JOIN v_pr_contains_commit x ON x.pull_request_id = r.pull_request_id
   JOIN v_commit_modifies_file m ON m.commit_id = x.commit_id WHERE r.submitted_at >= {_NOW} - INTERVAL 180 DAYS GROUP BY ALL),
 pool AS (SELECT DISTINCT k.pull_request_id, w.person_id FROM known k JOIN (SELECT file_id, person_id FROM authors UNION SELECT file_id, person_id FROM reviews) w ON w.file_id = k.file_id),
+worked AS (SELECT o.pull_request_id, p.github_login AS login, min(p.id) AS person_id FROM pool o JOIN v_persons p ON p.id = o.person_id GROUP BY 1, 2),
+logins AS (SELECT pull_request_id, login FROM worked UNION SELECT pull_request_id, login FROM owns),
 active AS (SELECT person_id, max(seen) AS seen FROM (SELECT author_id AS person_id, committed_at AS seen FROM v_commits UNION ALL SELECT reviewer_id, submitted_at FROM v_reviews) GROUP BY 1),
-candidates AS (SELECT o.pull_request_id, p.github_login AS login, p.id AS person_id, false AS is_team FROM pool o JOIN v_persons p ON p.id = o.person_id JOIN v_prs r ON r.id = o.pull_request_id
-  LEFT JOIN v_persons a ON a.id = r.author_id JOIN active t ON t.person_id = p.id WHERE p.github_login IS DISTINCT FROM a.github_login
-  AND NOT (ends_with(p.github_login, '-bot') OR ends_with(p.github_login, '-actions') OR ends_with(p.github_login, '[bot]')) AND t.seen >= {_NOW} - INTERVAL 90 DAYS),
+candidates AS (SELECT o.pull_request_id, o.login, w.person_id, contains(o.login, '/') AS is_team FROM logins o LEFT JOIN worked w ON w.pull_request_id = o.pull_request_id AND w.login = o.login JOIN v_prs r ON r.id = o.pull_request_id
+  LEFT JOIN v_persons a ON a.id = r.author_id LEFT JOIN active t ON t.person_id = w.person_id WHERE o.login IS DISTINCT FROM a.github_login
+  AND NOT (ends_with(o.login, '-bot') OR ends_with(o.login, '-actions') OR ends_with(o.login, '[bot]')) AND (contains(o.login, '/') OR w.person_id IS NULL OR t.seen >= {_NOW} - INTERVAL 90 DAYS)),
 paths AS (SELECT pull_request_id, count(DISTINCT path) AS n_paths FROM changed GROUP BY 1),
-authored AS (SELECT k.pull_request_id, w.person_id, count(DISTINCT k.path) AS n FROM known k JOIN authors w ON w.file_id = k.file_id GROUP BY ALL),
+authored AS (SELECT k.pull_request_id, w.person_id, count(DISTINCT k.path) AS n, min(k.path) AS first_path FROM known k JOIN authors w ON w.file_id = k.file_id GROUP BY ALL),
 reviewed AS (SELECT k.pull_request_id, w.person_id, CAST(sum(w.n) AS BIGINT) AS n FROM known k JOIN reviews w ON w.file_id = k.file_id GROUP BY ALL),
 own AS (SELECT DISTINCT k.pull_request_id AS set_id, s.id AS symbol_id FROM known k JOIN v_symbols s ON s.file_id = k.file_id),
 near AS (SELECT o.set_id, k.callee_id AS symbol_id FROM own o JOIN v_symbol_calls k ON k.caller_id = o.symbol_id UNION SELECT o.set_id, k.caller_id FROM own o JOIN v_symbol_calls k ON k.callee_id = o.symbol_id),
@@ -95,11 +131,11 @@ overlap AS (SELECT n.set_id, c.author_id AS person_id, count(DISTINCT n.symbol_i
   WHERE c.committed_at >= {_NOW} - INTERVAL 180 DAYS AND c.author_id IS NOT NULL GROUP BY ALL),
 rate AS (SELECT reviewer_id AS person_id, sum(CASE WHEN upper(state) = 'APPROVED' THEN 1 ELSE 0 END) AS approved, count(*) AS total FROM v_reviews WHERE submitted_at >= {_NOW} - INTERVAL 180 DAYS GROUP BY 1),
 load AS (SELECT author_id AS person_id, count(*) AS n FROM v_prs WHERE state = 'open' GROUP BY 1),
-signals AS (SELECT c.*, false AS is_codeowner, coalesce(a.n / p.n_paths, 0.0) AS authorship_share, coalesce(r.n, 0) AS recent_review_count, coalesce(o.n, 0) AS call_graph_overlap,
+signals AS (SELECT c.*, x.login IS NOT NULL AS is_codeowner, a.first_path, coalesce(a.n / p.n_paths, 0.0) AS authorship_share, coalesce(r.n, 0) AS recent_review_count, coalesce(o.n, 0) AS call_graph_overlap,
   coalesce(t.approved / t.total, 0.0) AS review_acceptance_rate, coalesce(l.n, 0) AS open_pr_load, coalesce(t.total, 0) AS total_reviews
   FROM candidates c LEFT JOIN paths p ON p.pull_request_id = c.pull_request_id LEFT JOIN authored a ON a.pull_request_id = c.pull_request_id AND a.person_id = c.person_id
   LEFT JOIN reviewed r ON r.pull_request_id = c.pull_request_id AND r.person_id = c.person_id LEFT JOIN overlap o ON o.set_id = c.pull_request_id AND o.person_id = c.person_id
-  LEFT JOIN rate t ON t.person_id = c.person_id LEFT JOIN load l ON l.person_id = c.person_id)"""
+  LEFT JOIN rate t ON t.person_id = c.person_id LEFT JOIN load l ON l.person_id = c.person_id LEFT JOIN owns x ON x.pull_request_id = c.pull_request_id AND x.login = c.login)"""
 _SQL = {
     "c1_related_prs": f"""WITH {_search('v_pull_requests')},
 touched AS (SELECT DISTINCT x.pull_request_id, f.path FROM v_pr_contains_commit x JOIN v_commit_modifies_file m ON m.commit_id = x.commit_id JOIN v_files f ON f.id = m.file_id),
@@ -130,18 +166,20 @@ notes AS (SELECT pull_request_id, -1 AS ordinal, 0 AS kind, 'Large PR: the diff
   UNION ALL SELECT k.pull_request_id, k.ordinal, 1, 'Recently reverted: ' || k.path || ' was touched by ' || r.n || ' revert commit(s) in the last 30 days (' || r.shas || ').' FROM known k JOIN reverted r ON r.file_id = k.file_id
   UNION ALL SELECT k.pull_request_id, k.ordinal, 2, 'High churn: ' || k.path || ' had ' || r.n || ' commits in the last 30 days.' FROM known k JOIN churn r ON r.file_id = k.file_id)
 SELECT pull_request_id, row_number() OVER (PARTITION BY pull_request_id ORDER BY ordinal, kind) AS place, note FROM notes""",
+    "f5_owners": f"WITH {_BASE}, {_OWNED} SELECT repository_id, path, array_to_string(owners, ' ') AS owners FROM owned",
+    "a12_owners_united": f"WITH {_BASE}, {_OWNED} SELECT pull_request_id, string_agg(login, ' ' ORDER BY login) AS owners FROM owns GROUP BY 1",
     "c7_candidates": f"WITH {_SIGNALS} SELECT * FROM candidates",
-    "c8_signals": f"WITH {_SIGNALS} SELECT * REPLACE (round(authorship_share, 9) AS authorship_share, round(review_acceptance_rate, 9) AS review_acceptance_rate) FROM signals",
+    "c8_signals": f"WITH {_SIGNALS} SELECT * EXCLUDE (first_path) REPLACE (round(authorship_share, 9) AS authorship_share, round(review_acceptance_rate, 9) AS review_acceptance_rate) FROM signals",
     "c10_reviewers": f"""WITH {_SIGNALS},
-scored AS (SELECT *, round_even(0.0 + 0.0 + CASE WHEN authorship_share >= 0.2 THEN 0.25 ELSE 0.0 END + CASE WHEN recent_review_count >= 3 THEN 0.15 ELSE 0.0 END + CASE WHEN call_graph_overlap >= 1 THEN 0.1 ELSE 0.0 END
+scored AS (SELECT *, round_even(0.0 + CASE WHEN is_codeowner THEN 0.3 ELSE 0.0 END + CASE WHEN authorship_share >= 0.2 THEN 0.25 ELSE 0.0 END + CASE WHEN recent_review_count >= 3 THEN 0.15 ELSE 0.0 END + CASE WHEN call_graph_overlap >= 1 THEN 0.1 ELSE 0.0 END
   + CASE WHEN review_acceptance_rate >= 0.7 THEN 0.1 ELSE 0.0 END + CASE WHEN open_pr_load < 3 THEN 0.1 ELSE 0.0 END + CASE WHEN open_pr_load > 8 THEN -0.2 ELSE 0.0 END, 4) AS score FROM signals),
 placed AS (SELECT *, row_number() OVER (PARTITION BY pull_request_id ORDER BY score DESC, login) AS rank FROM scored WHERE score > 0)
-SELECT pull_request_id, login, is_team, CAST(score AS DOUBLE) AS score, rank, CASE
+SELECT pull_request_id, login, is_team, CAST(score AS DOUBLE) AS score, rank, CASE WHEN is_codeowner AND first_path IS NOT NULL THEN 'CODEOWNERS match for ' || first_path || '.' WHEN is_codeowner THEN 'CODEOWNERS match for the files touched by this PR.'
   WHEN authorship_share >= 0.2 THEN 'Authored ' || CAST(round_even(authorship_share * 100, 0) AS INTEGER) || '% of touched files in the last 6 months.'
   WHEN call_graph_overlap >= 1 THEN 'Recently modified ' || call_graph_overlap || CASE WHEN call_graph_overlap = 1 THEN ' symbol' ELSE ' symbols' END || ' that call into this PR''s code.'
   WHEN recent_review_count >= 3 AND total_reviews > 0 AND review_acceptance_rate >= 0.7 THEN 'Reviewed ' || recent_review_count || ' PRs in this area with a ' || CAST(round_even(review_acceptance_rate * 100, 0) AS INTEGER) || '% acceptance rate.'
   WHEN recent_review_count >= 3 THEN 'Reviewed ' || recent_review_count || ' PRs touching these files recently.'
   WHEN open_pr_load < 3 THEN 'Currently has capacity (' || open_pr_load || CASE WHEN open_pr_load = 1 THEN ' open PR' ELSE ' open PRs' END || ').'
-  ELSE 'Surfaced by historical review activity near this PR.' END AS rationale FROM placed WHERE rank <= 3""",
+  WHEN is_team THEN 'Listed as a team owner (' || login || ').' ELSE 'Surfaced by historical review activity near this PR.' END AS rationale FROM placed WHERE rank <= 3""",
 }
 ORACLE = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -28,10 +28,10 @@ def _before(now: Column, days: int) -> Column:
 
 
 def _files(g: q.Graph, changed: DataFrame) -> DataFrame:
-    return changed.select("pull_request_id", "repository_id", "path").distinct().join(q.file_by_path(g), ["repository_id", "path"])
+    return changed.select("pull_request_id", "repository_id", "path").distinct().join(q.file_by_path(g, changed), ["repository_id", "path"])
 
 
-def _owners(g: q.Graph, files: DataFrame, rules: DataFrame | None) -> DataFrame:
+def _owners(files: DataFrame, rules: DataFrame | None) -> DataFrame:
     if rules is None:
         return files.select("pull_request_id", "path", F.lit("").alias("login")).limit(0)
     owned = owners_of(files.select("repository_id", "path"), rules)
@@ -59,17 +59,17 @@ def candidates(g: q.Graph, prs: DataFrame, changed: DataFrame, now: Column, rule
     """pull_request_id, login, person_id, is_team: owners, recent authors and recent reviewers of the changed files.
 
     The author of the pull request, bots, and people whose last activity is
-    older than 90 days or unknown drop out; teams and logins the graph does
-    not know stay. ``prs`` has id, author_login.
+    older than 90 days or unknown drop out; teams and owners who are neither
+    recent authors nor reviewers, so that nothing tells who they are, stay.
+    ``prs`` has id, author_login.
     """
     seen = known or evidence(g, changed, now)
     files = seen.files
-    owners = _owners(g, files, rules).select("pull_request_id", "login", F.lit(None).cast("string").alias("person_id"), F.col("login").contains("/").alias("is_team"))
+    # Owners of every changed path count here, also of those the graph does not know.
+    owners = _owners(changed.select("pull_request_id", "repository_id", "path").distinct(), rules).select("pull_request_id", "login", F.lit(None).cast("string").alias("person_id"), F.col("login").contains("/").alias("is_team"))
     worked = seen.authors.unionByName(seen.reviews).select("file_id", "login", "person_id").distinct()
     people = files.join(worked, "file_id").select("pull_request_id", "login", "person_id", F.lit(False).alias("is_team"))
     pool = owners.unionByName(people).groupBy("pull_request_id", "login").agg(F.min("person_id").alias("person_id"), F.bool_or("is_team").alias("is_team"))
-    ids = g["persons"].groupBy(F.col("github_login").alias("login")).agg(F.min("id").alias("known_id"))
-    pool = pool.join(ids, "login", "left").withColumn("person_id", F.coalesce("person_id", "known_id")).drop("known_id")
     author = prs.select(F.col("id").alias("pull_request_id"), "author_login")
     rows = pool.join(author, "pull_request_id").where(~F.col("login").eqNullSafe(F.col("author_login")) & ~is_bot(F.col("login")))
     last = q.last_activity_at(g, pool.where(F.col("person_id").isNotNull()).select("person_id"))
@@ -86,7 +86,7 @@ def signals(g: q.Graph, pool: DataFrame, changed: DataFrame, now: Column, rules:
     """
     seen = known or evidence(g, changed, now)
     files, since = seen.files, _before(now, WINDOW_DAYS)
-    owner = _owners(g, files, rules).select("pull_request_id", "login", F.lit(True).alias("is_codeowner")).distinct()
+    owner = _owners(files, rules).select("pull_request_id", "login", F.lit(True).alias("is_codeowner")).distinct()
     paths = changed.groupBy("pull_request_id").agg(F.count_distinct("path").alias("n_paths"))
     authored = files.join(seen.authors, "file_id").groupBy("pull_request_id", "person_id").agg(F.count_distinct("path").alias("authored"), F.sort_array(F.collect_set("path")).alias("authored_files"))
     reviewed = files.join(seen.reviews, "file_id").groupBy("pull_request_id", "person_id").agg(F.sum("n").alias("recent_review_count"))

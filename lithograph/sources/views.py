@@ -8,13 +8,12 @@ see the same rows. Rows delivered twice are one row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lithograph.tables import load
 
-RAW = ("repositories", "persons", "files", "symbols", "symbol_calls", "commits", "commit_modifies_file", "pull_requests", "adrs", "source_texts", "embedding_results")
-
 #: In the order of their use. Names in braces are tables of the directory or views before.
 VIEWS = {
     "v_persons": "SELECT DISTINCT id, github_login, name, email FROM {persons}",
@@ -33,18 +32,51 @@ VIEWS = {
           CASE WHEN q.state = 'open' THEN 'approved' WHEN lower(q.state) = 'merged' THEN 'APPROVED' ELSE 'CHANGES_REQUESTED' END AS state
         FROM {v_prs} p JOIN {v_prs} q ON q.repository_id = p.repository_id AND q.number = p.number + 1 WHERE q.author_id IS NOT NULL""",
     "v_issues": "SELECT id, repository_id, number, title, lower(state) AS state FROM {v_prs}",
-    "v_commit_modifies_symbol": "SELECT DISTINCT m.commit_id, s.id AS symbol_id FROM {v_commit_modifies_file} m JOIN {v_symbols} s ON s.file_id = m.file_id WHERE s.kind = 'class'",
+    # Owner files of every repository: a default, kinds of files, and a line for each pair of directories in one of four forms.
+    "v_owner_dirs": """SELECT repository_id, a, b, low, high, row_number() OVER (PARTITION BY repository_id ORDER BY a, b) AS n FROM (
+          SELECT f.repository_id, split_part(f.path, '/', 1) AS a, split_part(f.path, '/', 2) AS b, min(p.github_login) AS low, max(p.github_login) AS high FROM {v_files} f
+          JOIN {v_commit_modifies_file} m ON m.file_id = f.id JOIN {v_commits} c ON c.id = m.commit_id JOIN {v_persons} p ON p.id = c.author_id GROUP BY 1, 2, 3)""",
+    "v_owner_lines": """SELECT id AS repository_id, 0 AS line_no, '# Owners of ' || name AS line FROM {repositories} UNION SELECT id, 1, '* @' || owner || '/maintainers' FROM {repositories}
+        UNION SELECT id, 2, '*.sql @' || owner || '/data data@mail.example' FROM {repositories} UNION SELECT id, 3, '' FROM {repositories} UNION SELECT id, 4, '/docs/ docs@mail.example' FROM {repositories}
+        UNION SELECT repository_id, 4 + n, CASE WHEN n % 4 = 0 THEN '/' || a || '/' || b || '/ @' || low || '  @' || high WHEN n % 4 = 1 THEN a || '/' || b || '/** @' || high
+          WHEN n % 4 = 2 THEN '/' || a || '/' || b || '/*/m*.?? @' || low ELSE a || '/' || b || '/orphan' END FROM {v_owner_dirs}
+        UNION SELECT id, 1000000, 'tracing.* @' || owner || '/tracing @nobody-knows' FROM {repositories}""",
+    "v_commit_modifies_symbol": "SELECT DISTINCT m.commit_id, s.id AS symbol_id FROM {v_commit_modifies_file} m JOIN {v_symbols} s ON s.file_id = m.file_id",
 }
-TABLE_OF = {v: v[2:] for v in VIEWS if v not in ("v_prs", "v_vectors")}
+VIEW_OF = {v[2:]: v for v in VIEWS if v not in ("v_prs", "v_vectors", "v_owner_dirs")}
+#: Tables that are read as they are.
+PLAIN = ("repositories", "source_texts")
+
+
+class Tables(Mapping):
+    """The graph's tables by name, each read or derived when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._dir = spark, sf_dir
+        self._known: dict[str, DataFrame] = {}
+
+    def _need(self, name: str) -> DataFrame:
+        if name not in self._known:
+            sql = VIEWS.get(name)
+            used = {k: self._need(k) for k in dict.fromkeys(re.findall(r"\{(\w+)\}", sql))} if sql else {}
+            self._known[name] = self._spark.sql(sql, **used) if sql else load(self._spark, self._dir, name)
+        return self._known[name]
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in VIEW_OF and table not in PLAIN:
+            raise KeyError(table)
+        return self._need(VIEW_OF.get(table, table))
+
+    def __iter__(self) -> Iterator[str]:
+        yield from (*VIEW_OF, *PLAIN)
+
+    def __len__(self) -> int:
+        return len(VIEW_OF) + len(PLAIN)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The graph's tables by name."""
-    known: dict[str, DataFrame] = {name: load(spark, sf_dir, name) for name in RAW}
-    for name, sql in VIEWS.items():
-        used = {k: v for k, v in known.items() if "{" + k + "}" in sql}
-        known[name] = spark.sql(sql, **used)
-    return {table: known[view] for view, table in TABLE_OF.items()} | {t: known[t] for t in ("repositories", "source_texts")}
+def graph(spark: SparkSession, sf_dir: str) -> Tables:
+    """The graph over a directory of test tables."""
+    return Tables(spark, sf_dir)
 
 
 def with_views(sql: str) -> str:
