@@ -14,7 +14,6 @@ from lithograph.plans import conflicts, context, payload, reviewers
 from lithograph.plans.queries import CHURN, asked, changed_files, now, with_login
 from lithograph.sources.merge import upserted
 from lithograph.sources.views import graph, with_views
-from lithograph.streaming import build
 from lithograph.tables import checkpointed, once
 
 
@@ -24,12 +23,6 @@ def _sources(g: q.Graph) -> DataFrame:
     return q.file_by_path(g).join(texts, "file_id").select("repository_id", "path", "content")
 
 
-def _built(g: q.Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parsed = checkpointed(build.parsed_files(_sources(g)))
-    symbols = build.symbols_of(parsed)
-    return parsed, symbols, build.resolved_calls(parsed, symbols, parsed)
-
-
 def _versions(g: q.Graph) -> DataFrame:
     """file_id, repository_id, path, content of every text, each version of a path; the middle two are null for a file that isn't known."""
     files = once(g["files"].select(F.col("id").alias("file_id"), "repository_id", "path"), "file_id")
@@ -45,9 +38,12 @@ def _bodies(g: q.Graph) -> DataFrame:
 
 
 def _upserted(g: q.Graph) -> DataFrame:
-    """The pull requests' issues merged into those in the state 'open': unknown numbers are added, known ones get the new state."""
-    current = g["issues"].where(F.col("state") == "open").select("repository_id", "number", "title", F.lit("known").alias("state"))
-    return upserted(current, g["issues"].select("repository_id", "number", "title", "state"), ["repository_id", "number"], ["state"])
+    """Issues known and issues seen, which overlap in part: unknown numbers are added, of known ones only the state is replaced."""
+    issues = g["issues"].select(F.when(F.col("number") % 7 > 0, F.col("repository_id")).alias("repository_id"), F.when(F.col("number") % 5 > 0, F.col("number")).alias("number"))
+    issues = issues.distinct()
+    current = issues.where(F.coalesce(F.col("number") % 3, F.lit(1)) > 0).withColumns({"title": F.lit("known"), "state": F.lit("known")})
+    seen = issues.where(F.coalesce(F.col("number") % 4, F.lit(1)) > 0).withColumns({"title": F.lit("seen"), "state": F.lit("seen")})
+    return upserted(current, seen, ["repository_id", "number"], ["state"])
 
 
 def _conventions(g: q.Graph, changed: DataFrame) -> DataFrame:
@@ -78,9 +74,6 @@ _PLANS: dict[str, Callable[[q.Graph], DataFrame]] = {
     "x1_symbols": _exploded("symbols"),
     "x3_imports": _exploded("imports"),
     "x4_calls": _exploded("calls"),
-    "i2_built_symbols": lambda g: _built(g)[1],
-    "i3_built_edges": lambda g: build.edges(_built(g)[2]),
-    "i5_dropped_calls": lambda g: build.dropped(_built(g)[2]),
     "c11_architectural": lambda g: conflicts.architectural_questions(g, asked(g).select("id", "embedding")).withColumn("similarity", F.round("similarity", 6)),
     "c13_payloads": _payloads,
     # Without the searches, over all pull requests.
@@ -108,7 +101,9 @@ _SQL = {
     "a11_diff_lines": r"SELECT id, len(regexp_extract_all(coalesce(body, ''), '(?m)^(?:\+(?:[^+]|\+[^+]|$)|-(?:[^-]|-[^-]|$))')) AS n_lines FROM v_prs",
     "h1_hashes": "SELECT DISTINCT file_id, sha256(content) AS content_hash, sha256('m' || chr(0) || content) AS embedding_key FROM source_texts WHERE content IS NOT NULL",
     "is_bot_login": "SELECT DISTINCT id, ends_with(github_login, '-bot') OR ends_with(github_login, '-actions') OR ends_with(github_login, '[bot]') AS is_bot FROM persons",
-    "sc10_upserted": "SELECT repository_id, number, title, state FROM v_issues",
+    "sc10_upserted": """WITH i AS (SELECT DISTINCT CASE WHEN number % 7 > 0 THEN repository_id END AS repository_id, CASE WHEN number % 5 > 0 THEN number END AS number FROM v_issues),
+        b AS (SELECT *, coalesce(number % 3, 1) > 0 AS known, coalesce(number % 4, 1) > 0 AS seen FROM i)
+        SELECT repository_id, number, CASE WHEN known THEN 'known' ELSE 'seen' END AS title, CASE WHEN seen THEN 'seen' ELSE 'known' END AS state FROM b WHERE known OR seen""",
     "c11_architectural": f"""WITH asked AS (SELECT id AS pull_request_id, CAST(embedding AS DOUBLE[]) AS qv FROM v_pull_requests WHERE number % 100 = 0 AND {_GOOD}),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY pull_request_id ORDER BY s DESC, id) AS place FROM (SELECT asked.*, i.*, round(list_cosine_similarity(qv, CAST(i.embedding AS DOUBLE[])), 9) AS s FROM asked, (SELECT * FROM v_adrs WHERE {_GOOD}) i))
         SELECT pull_request_id, id AS adr_id, path, title, round(s, 6) AS similarity, place FROM ranked WHERE place <= 5 AND status = 'accepted'""",

@@ -91,13 +91,17 @@ def bullets(items: Column) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit("(none)")).otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
 
 
+def bound_name(kind: Column, module: Column, symbol: Column, alias: Column) -> Column:
+    """The name that an import binds: the alias, else the symbol, else the module's last part."""
+    return F.when(kind == "from", F.coalesce(alias, symbol)).otherwise(F.coalesce(alias, F.element_at(F.split(module, r"\."), -1)))
+
+
 def imported_name(kind: Column, module: Column, symbol: Column, alias: Column, target: Column) -> Column:
     """The name that a call's target means under an import, null if the import does not bind it."""
-    bound = F.when(kind == "from", F.coalesce(alias, symbol)).otherwise(F.coalesce(alias, F.element_at(F.split(module, r"\."), -1)))
-    rest = F.expr("null").cast("string")
+    bound = bound_name(kind, module, symbol, alias)
     inner = F.when(target.startswith(F.concat(bound, F.lit("."))), F.substr(target, F.length(bound) + 2))
     whole = F.when((kind == "from") & (target == bound), symbol)
-    return F.coalesce(whole, inner, rest)
+    return F.coalesce(whole, inner)
 
 
 def language_by_extension(path: Column) -> Column:

@@ -18,9 +18,11 @@ from lithograph.functions import text as tx
 from lithograph.functions.extraction import extracted
 from lithograph.sources import merge
 from lithograph.sources.tree import adrs_among, in_adr_dir, with_order
+from lithograph.tables import checkpointed
 
 State = Mapping[str, DataFrame]
-TABLES = ("files", "symbols", "symbol_calls", "adrs")
+#: The tables of a state and their keys.
+TABLES = {"files": ("id",), "symbols": ("id",), "symbol_calls": ("caller_id", "callee_id", "line"), "adrs": ("id",)}
 SCHEMAS = {
     "files": "id string, repository_id string, path string, language string, content_hash string, file_order string",
     "symbols": "id string, repository_id string, file_id string, qualified_name string, kind string, signature string, ast_hash string, start_line int, end_line int",
@@ -73,14 +75,16 @@ def resolved_calls(parsed: DataFrame, symbols: DataFrame, files: DataFrame) -> D
     then in the whole repository; there an exact name comes before a dotted
     ending that only one name has. Each step is an equi-join.
     """
-    calls = parsed.select("repository_id", F.col("id").alias("file_id"), "imports", F.posexplode("calls").alias("call_no", "c")).select("repository_id", "file_id", "imports", "call_no", "c.*")
+    calls = parsed.select("repository_id", F.col("id").alias("file_id"), F.posexplode("calls").alias("call_no", "c")).select("repository_id", "file_id", "call_no", "c.*")
     exact, only = name_index(symbols, files)
     own = symbols.select("file_id", F.col("qualified_name").alias("name"), F.col("id").alias("symbol_id"))
     call = ["file_id", "call_no"]
     callers = own.select("file_id", F.col("name").alias("caller_qualified_name"), F.col("symbol_id").alias("caller_id"))
     calls = calls.join(callers, ["file_id", "caller_qualified_name"])
     still = calls.where(~F.col("dynamic"))
-    bound = still.select("repository_id", *call, "target_name", F.explode("imports").alias("i")).select("repository_id", *call, F.col("i.place").alias("place"), tx.imported_name(F.col("i.kind"), F.col("i.module"), F.col("i.symbol"), F.col("i.alias"), F.col("target_name")).alias("name")).where(F.col("name").isNotNull())
+    # Only imports that bind the first part of the target, or the whole of it, are looked at.
+    imports = parsed.select(F.col("id").alias("file_id"), F.explode("imports").alias("i")).withColumn("first", F.substring_index(tx.bound_name(F.col("i.kind"), F.col("i.module"), F.col("i.symbol"), F.col("i.alias")), ".", 1))
+    bound = still.withColumn("first", F.substring_index("target_name", ".", 1)).select("repository_id", *call, "target_name", "first").join(imports, ["file_id", "first"]).select("repository_id", *call, F.col("i.place").alias("place"), tx.imported_name(F.col("i.kind"), F.col("i.module"), F.col("i.symbol"), F.col("i.alias"), F.col("target_name")).alias("name")).where(F.col("name").isNotNull())
     # One lookup serves both steps; the plain name comes after all imports.
     asked = bound.unionByName(still.select("repository_id", *call, F.lit(2_000_000_000).alias("place"), F.col("target_name").alias("name")))
     hits = asked.join(exact.withColumnRenamed("symbol_id", "by_name"), ["repository_id", "name"], "left").join(only.withColumnRenamed("symbol_id", "by_ending"), ["repository_id", "name"], "left")
@@ -108,15 +112,15 @@ def adrs_of(sources: DataFrame) -> DataFrame:
 
 
 def full_build(sources: DataFrame) -> dict[str, DataFrame]:
-    """The graph of all files (repository_id, path, content)."""
-    parsed = parsed_files(sources)
+    """The graph of all files (repository_id, path, content) (I1). Files are parsed once, whatever is read of the result."""
+    parsed = checkpointed(parsed_files(sources))
     files = parsed.select("id", "repository_id", "path", "language", "content_hash", "file_order")
     symbols = symbols_of(parsed)
     return {"files": files, "symbols": symbols, "symbol_calls": edges(resolved_calls(parsed, symbols, files)), "adrs": adrs_of(sources)}
 
 
-def applied(state: State, changes: DataFrame) -> dict[str, DataFrame]:
-    """The graph after changes (repository_id, path, kind A/M/D, content).
+def changes_to(state: State, changes: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What changes (repository_id, path, kind A/M/D, content) do to each table: the keys that go and the rows that come.
 
     One change per path is expected; of several the deletion, else the least
     text counts. Deleted files take their symbols and all edges of those with
@@ -124,21 +128,32 @@ def applied(state: State, changes: DataFrame) -> dict[str, DataFrame]:
     back by themselves. A file that is no decision record any more loses its
     record; other files of unknown languages are ignored.
     """
+    # What a batch changes is kept as it is computed: the tables read it several times, and later batches build on it.
     last = changes.where(F.col("path").isNotNull()).groupBy("repository_id", "path").agg(F.bool_or((F.col("kind") == "D") | F.col("content").isNull()).alias("gone"), F.min("content").alias("content"))
-    touched = last.select(hashed(F.col("repository_id"), F.col("path")).alias("id"), "repository_id", "path", "gone", "content")
-    parsed = parsed_files(touched.where(~F.col("gone")))
+    touched = checkpointed(last.select(hashed(F.col("repository_id"), F.col("path")).alias("id"), "repository_id", "path", "gone", "content"))
+    parsed = checkpointed(parsed_files(touched.where(~F.col("gone"))))
+    ids = touched.select("id").distinct()
     new_files = parsed.select("id", "repository_id", "path", "language", "content_hash", "file_order")
-    files = merge.without(state["files"], touched.select("id"), "id").unionByName(new_files)
-    kept = merge.without(state["symbols"], touched.select("id"), "file_id")
+    files = merge.without(state["files"], ids, "id").unionByName(new_files)
+    kept = merge.without(state["symbols"], ids, "file_id")
+    old_symbols = checkpointed(state["symbols"].join(ids.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id"))
     new_symbols = symbols_of(parsed)
-    symbols = kept.unionByName(new_symbols)
     # Edges out of changed files are made anew; edges into symbols that are no more go with them.
-    callers = state["symbol_calls"].join(kept.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
-    old = callers.join(symbols.select(F.col("id").alias("callee_id")), "callee_id", "left_semi").select("caller_id", "callee_id", "line", "dynamic")
-    calls = old.unionByName(edges(resolved_calls(parsed, symbols, files))).distinct()
+    removed = old_symbols.join(new_symbols.select("id"), "id", "left_anti")
+    calls = state["symbol_calls"]
+    key = list(TABLES["symbol_calls"])
+    old_calls = checkpointed(calls.join(old_symbols.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").select(*key).unionByName(calls.join(removed.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi").select(*key)).distinct())
+    new_calls = checkpointed(edges(resolved_calls(parsed, kept.unionByName(new_symbols), files)))
     here = touched.where(in_adr_dir(F.col("path")))
-    adrs = merge.without(state["adrs"], here.select("id"), "id").unionByName(adrs_of(here.where(~F.col("gone"))))
-    return {"files": files, "symbols": symbols, "symbol_calls": calls, "adrs": adrs}
+    return {"files": (ids, new_files), "symbols": (old_symbols, new_symbols), "symbol_calls": (old_calls, new_calls), "adrs": (here.select("id").distinct(), adrs_of(here.where(~F.col("gone"))))}
+
+
+def applied(state: State, changes: DataFrame) -> dict[str, DataFrame]:
+    """The graph after changes, as ``changes_to`` tells them."""
+    out = {}
+    for name, (gone, new) in changes_to(state, changes).items():
+        out[name] = state[name].join(gone, list(TABLES[name]), "left_anti").select(*new.columns).unionByName(new)
+    return out
 
 
 def change_stats(state: State, after: State) -> DataFrame:
@@ -152,14 +167,18 @@ def change_stats(state: State, after: State) -> DataFrame:
 def maintain(changes: DataFrame, root: str, checkpoint: str, trigger_once: bool = True):
     """A streaming query that applies batches of changes (batch_no, repository_id, path, kind, content) to the graph below ``root``.
 
-    Each batch reads the newest version and writes the next one, numbered by
-    the batch, so a batch that runs again writes the same version again.
+    Each batch reads the newest version and writes what it changes as the next
+    one, numbered by the batch, so a batch that runs again writes the same
+    version again. Every COMPACT versions the tables are written whole.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = merge.open_version(spark, root, number, TABLES) if number else empty_state(spark)
-        merge.save(applied(state, batch), root, number + 1)
+        merge.save_changes(changes_to(state, batch), root, number + 1)
+        if (number + 1) % merge.COMPACT == 0:
+            # The changes just written end this stretch; they are read back rather than computed again.
+            merge.save_whole(merge.open_since(spark, root, number + 1 - merge.COMPACT, number + 1, TABLES), root, number + 1)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()
