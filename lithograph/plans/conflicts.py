@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lithograph.functions.changes import VISIBLE, change, status_return_drift
 from lithograph.operators import graph as q
+from lithograph.sources.tree import caller_snippets
+from lithograph.tables import checkpointed
 
 CALLERS, ADRS = 10, 5
 FINDING = "pull_request_id string, emitted long, kind string, severity string, title string, detail string, path string, line int, related_symbols array<string>, suggested_action string"
@@ -29,18 +31,24 @@ def changed_symbols(symbols: DataFrame) -> DataFrame:
     return rows.withColumn("classification", F.coalesce(F.col("change.classification"), plain))
 
 
-def semantic_questions(g: q.Graph, symbols: DataFrame, limit: int = CALLERS) -> DataFrame:
+def semantic_questions(g: q.Graph, symbols: DataFrame, limit: int = CALLERS, sources: DataFrame | None = None) -> DataFrame:
     """For every change that callers can notice, its first callers by name, at most ``limit``.
 
     ``symbols`` has pull_request_id, ordinal, repository_id, qualified_name,
-    change_kind, old_source, new_source, file_path.
+    change_kind, old_source, new_source, file_path. With ``sources``
+    (repository_id, path, content), each caller comes with its text.
     """
     noticed = changed_symbols(symbols).where(F.col("classification").isin(*VISIBLE))
     found = q.symbol_by_qualified_name(g, noticed.select("repository_id", F.col("qualified_name").alias("name")))
     rows = noticed.join(found.select("repository_id", F.col("name").alias("qualified_name"), "symbol_id"), ["repository_id", "qualified_name"])
     callers = q.callers_of(g, found.select("symbol_id")).select(F.col("callee_id").alias("symbol_id"), "caller_id", F.col("qualified_name").alias("caller_name"), F.col("path").alias("caller_path"), F.col("start_line").alias("caller_line"))
     asked = rows.join(callers, "symbol_id").withColumn("place", F.row_number().over(W.partitionBy("pull_request_id", "ordinal").orderBy("caller_name", "caller_id")))
-    return asked.where(F.col("place") <= limit).select("pull_request_id", "ordinal", "qualified_name", "file_path", "classification", "change", "caller_id", "caller_name", "caller_path", "caller_line", "place")
+    asked = asked.where(F.col("place") <= limit)
+    shown = ["pull_request_id", "ordinal", "qualified_name", "file_path", "classification", "change", "caller_id", "caller_name", "caller_path", "caller_line", "place"]
+    if sources is None:
+        return asked.select(*shown)
+    extent = g["symbols"].select(F.col("id").alias("caller_id"), "start_line", "end_line", "signature")
+    return caller_snippets(asked.withColumn("path", F.col("caller_path")).join(extent, "caller_id"), sources).select(*shown, "snippet")
 
 
 def architectural_questions(g: q.Graph, prs: DataFrame, k: int = ADRS, dim: int = 64) -> DataFrame:
@@ -70,6 +78,19 @@ def judged_findings(questions: DataFrame, judge: Judge, kind: str, path: str, li
     )
 
 
+def asked_twice(judge: Judge) -> Judge:
+    """``judge``, asked once more if it fails; its verdicts are kept, so that what they decide is not asked for again."""
+
+    def twice(questions: DataFrame) -> DataFrame:
+        kept = checkpointed(questions)
+        try:
+            return checkpointed(judge(kept))
+        except Exception:  # noqa: BLE001 - whatever a judge fails with, it is asked again once
+            return checkpointed(judge(kept))
+
+    return twice
+
+
 def first_of_each(findings: DataFrame) -> DataFrame:
     """One finding per pull request, kind, title and path: the one emitted first."""
     place = F.row_number().over(W.partitionBy("pull_request_id", "kind", "title", "path").orderBy("emitted", "detail"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lithograph.functions.changes import change, status_return_drift
 from lithograph.functions.paths import OWNER_FILES, owner_rules, owners_of, owners_united
 from lithograph.operators import graph as q
-from lithograph.plans import context, reviewers
-from lithograph.sources.tree import owner_file
+from lithograph.plans import conflicts, context, reviewers
+from lithograph.sources.tree import caller_snippets, owner_file
 from lithograph.sources.views import graph, with_views
-from lithograph.tables import checkpointed
+from lithograph.tables import checkpointed, once
 
 NOW = "2024-12-31 00:00:00"
 CHURN = 5
@@ -65,6 +66,61 @@ def _related(g: q.Graph) -> DataFrame:
     return rows.select("query_id", "pull_request_id", "number", "title", *[F.round(c, 6).alias(c) for c in ("similarity", "overlap", "score")], "rank")
 
 
+# Two sources of a definition by a digit of a hash; SQL knows the labels they must get.
+_BEFORE = {"23": None, "67": "def {n}(a) -> int:\n    return a\n", "89e": "def {n}(a):\n    if a:\n        raise ValueError\n    return a\n", "f": "def {n}(\n", "": "def {n}(a):\n    return a\n"}
+_AFTER = {"01": None, "45": "def {n}(a, *, b: int = 1):\n    return a\n", "67": "def {n}(a) -> str:\n    return a\n", "89": "def {n}(a):\n    if a:\n        raise errors.Bad(a)\n    return a\n", "ab": "def {n}(a):\n    return a + 1\n", "cd": 'def {n}(a):\n    """Said."""\n    # more\n    return a\n', "e": "async def {n}(b):\n    return b\n", "": "def {n}(a):\n    return a\n"}
+
+
+def _source(forms: dict[str, str | None], digit: Column, name: Column) -> Column:
+    out = F.replace(F.lit(forms[""]), F.lit("{n}"), name)
+    for digits, form in forms.items():
+        if digits:
+            out = F.when(digit.isin(*digits), F.lit(None) if form is None else F.replace(F.lit(form), F.lit("{n}"), name)).otherwise(out)
+    return out
+
+
+def _versions(symbols: DataFrame) -> DataFrame:
+    """``symbols`` (id, qualified_name) with an old and a new source."""
+    digit, name = F.substr(F.md5("id"), F.lit(1), F.lit(1)), F.element_at(F.split("qualified_name", r"\."), -1)
+    return symbols.withColumns({"old_source": _source(_BEFORE, digit, name), "new_source": _source(_AFTER, digit, name)})
+
+
+def _changes(g: q.Graph) -> DataFrame:
+    rows = _versions(g["symbols"].where(F.col("kind").isin("function", "method")).select("id", "qualified_name")).withColumn("c", change(F.col("old_source"), F.col("new_source")))
+    joined = lambda n: F.array_join(f"c.{n}", " ").alias(n)
+    return rows.select("id", "c.classification", joined("all_changes"), "c.before_signature", "c.after_signature", joined("added_exceptions"), joined("removed_exceptions"))
+
+
+def changed_symbols(g: q.Graph) -> DataFrame:
+    """Every function of the files that a pull request changed, with an old and a new source."""
+    files = changed_files(g).select("pull_request_id", "repository_id", "path")
+    known = files.join(q.file_by_path(g, files), ["repository_id", "path"]).select("pull_request_id", F.col("path").alias("file_path"), "file_id")
+    symbols = g["symbols"].where(F.col("kind").isin("function", "method")).select("id", "repository_id", "file_id", "qualified_name")
+    rows = known.join(symbols, "file_id").withColumn("ordinal", F.row_number().over(W.partitionBy("pull_request_id").orderBy("id"))).withColumn("change_kind", F.lit("modified"))
+    return _versions(rows).select("pull_request_id", "ordinal", "repository_id", "qualified_name", "change_kind", "old_source", "new_source", "file_path")
+
+
+def _semantic(g: q.Graph) -> DataFrame:
+    return conflicts.semantic_questions(g, changed_symbols(g)).select("pull_request_id", "ordinal", "qualified_name", "file_path", "classification", "caller_id", "caller_name", "caller_path", "caller_line", "place")
+
+
+def _drift(g: q.Graph) -> DataFrame:
+    """Status tuples in the changed files of pull requests, whose texts tell by a hash what their functions return."""
+    digit, name = F.substr(F.md5("path"), F.lit(1), F.lit(1)), F.substr(F.md5("path"), F.lit(1), F.lit(6))
+    status = F.concat(F.lit("def pay_"), name, F.lit("(x) -> "), F.when(digit < "2", "tuple[bool, str]").otherwise("tuple[int, list[str]]"), F.lit(":\n    return x\n"))
+    text = F.when(digit < "4", status).when(digit < "8", F.lit("from app.exceptions import Bad\n")).otherwise(F.lit("def _x() -> tuple[bool, str]:\n    return x\n\ndef y() -> tuple[str, bool]:\n    return x\n"))
+    other = F.substr(F.md5(F.concat("pull_request_id", "path")), F.lit(1), F.lit(1))
+    files = changed_files(g).select(F.col("pull_request_id").alias("key"), "path", text.alias("content"), (other < "e").alias("changed"))
+    return status_return_drift(files, "src/")
+
+
+def _snippets(g: q.Graph) -> DataFrame:
+    """Every symbol that calls another, with its text in the latest version of its path, else its signature."""
+    callers = g["symbols"].join(g["symbol_calls"].select(F.col("caller_id").alias("id")).distinct(), "id", "left_semi").join(g["files"].select(F.col("id").alias("file_id"), "path"), "file_id")
+    sources = q.file_by_path(g).join(once(g["source_texts"].select("file_id", "content"), "file_id"), "file_id").select("repository_id", "path", "content")
+    return caller_snippets(callers.select("id", "repository_id", "path", "start_line", "end_line", "signature"), sources).select("id", "snippet")
+
+
 _PLANS: dict[str, Callable[[q.Graph], DataFrame]] = {
     "c1_related_prs": _related,
     "c2_relevant_adrs": lambda g: context.relevant_adrs(g, asked(g)).withColumn("similarity", F.round("similarity", 6)),
@@ -76,6 +132,10 @@ _PLANS: dict[str, Callable[[q.Graph], DataFrame]] = {
     "a12_owners_united": lambda g: owners_united(changed_files(g), rules(g), "pull_request_id").withColumn("owners", F.array_join("owners", " ")),
     "c7_candidates": lambda g: reviewers.candidates(g, with_login(g), changed_files(g), now(), rules(g)),
     "c8_signals": _signals,
+    "x6_changes": _changes,
+    "x9_drift": _drift,
+    "sc7_caller_snippets": _snippets,
+    "c11_semantic": _semantic,
     "c10_reviewers": lambda g: reviewers.ranked(g, with_login(g), changed_files(g), now(), rules(g)),
 }
 
@@ -136,7 +196,28 @@ signals AS (SELECT c.*, x.login IS NOT NULL AS is_codeowner, a.first_path, coale
   FROM candidates c LEFT JOIN paths p ON p.pull_request_id = c.pull_request_id LEFT JOIN authored a ON a.pull_request_id = c.pull_request_id AND a.person_id = c.person_id
   LEFT JOIN reviewed r ON r.pull_request_id = c.pull_request_id AND r.person_id = c.person_id LEFT JOIN overlap o ON o.set_id = c.pull_request_id AND o.person_id = c.person_id
   LEFT JOIN rate t ON t.person_id = c.person_id LEFT JOIN load l ON l.person_id = c.person_id LEFT JOIN owns x ON x.pull_request_id = c.pull_request_id AND x.login = c.login)"""
+_LABELS = """CASE WHEN d IN ('0', '1') THEN 'deleted' WHEN d IN ('2', '3') THEN 'added' WHEN d IN ('4', '5', 'e') THEN 'signature_change' WHEN d IN ('6', '7') THEN 'return_type_change'
+  WHEN d IN ('8', '9') THEN 'exception_change' WHEN d IN ('a', 'b') THEN 'body_only' WHEN d IN ('c', 'd') THEN 'unchanged' END"""
 _SQL = {
+    "x6_changes": f"""WITH s AS (SELECT id, split_part(qualified_name, '.', -1) AS n, substr(md5(id), 1, 1) AS d FROM v_symbols WHERE kind IN ('function', 'method')),
+c AS (SELECT id, n, d, {_LABELS} AS classification FROM s)
+SELECT id, classification, CASE WHEN d = 'e' THEN 'signature_change exception_change body_only' WHEN d IN ('8', '9') THEN 'exception_change body_only' ELSE classification END AS all_changes,
+  CASE WHEN d IN ('6', '7') THEN 'def ' || n || '(a) -> int' WHEN d NOT IN ('2', '3', 'f') THEN 'def ' || n || '(a)' END AS before_signature,
+  CASE WHEN d IN ('4', '5') THEN 'def ' || n || '(a, *, b: int = 1)' WHEN d IN ('6', '7') THEN 'def ' || n || '(a) -> str' WHEN d = 'e' THEN 'async def ' || n || '(b)' WHEN d NOT IN ('0', '1', 'f') THEN 'def ' || n || '(a)' END AS after_signature,
+  CASE WHEN d = 'f' THEN NULL WHEN d IN ('8', '9') THEN 'errors.Bad' ELSE '' END AS added_exceptions, CASE WHEN d = 'f' THEN NULL WHEN d IN ('8', '9', 'e') THEN 'ValueError' ELSE '' END AS removed_exceptions FROM c""",
+    "x9_drift": f"""WITH {_BASE}, texts AS (SELECT pull_request_id AS key, path, substr(md5(path), 1, 1) AS d, substr(md5(pull_request_id || path), 1, 1) < 'e' AS changed FROM changed WHERE starts_with(path, 'src/')),
+fits AS (SELECT key FROM texts GROUP BY 1 HAVING bool_or(d BETWEEN '4' AND '7') AND NOT bool_or(d < '4' AND NOT changed))
+SELECT key, path, 'pay_' || substr(md5(path), 1, 6) AS function_name, CASE WHEN d < '2' THEN 'tuple[bool, str]' ELSE 'tuple[int, list[str]]' END AS annotation FROM texts JOIN fits USING (key) WHERE changed AND d < '4'""",
+    "sc7_caller_snippets": f"""WITH {_BASE}, texts AS (SELECT b.repository_id, b.path, string_split_regex(t.content, '\\r\\n|\\n|\\r') AS lines FROM by_path b JOIN (SELECT file_id, min(content) AS content FROM source_texts GROUP BY 1) t ON t.file_id = b.file_id)
+SELECT s.id, CASE WHEN t.lines IS NOT NULL AND len(t.lines) >= s.start_line THEN array_to_string(t.lines[s.start_line:greatest(s.end_line, s.start_line)], chr(10)) ELSE coalesce(s.signature, '') || chr(10) || '    ...' END AS snippet
+FROM v_symbols s JOIN v_files f ON f.id = s.file_id LEFT JOIN texts t ON t.repository_id = s.repository_id AND t.path = f.path WHERE s.id IN (SELECT caller_id FROM v_symbol_calls)""",
+    "c11_semantic": f"""WITH {_BASE}, s AS (SELECT k.pull_request_id, k.path AS file_path, s.id, s.repository_id, s.qualified_name, substr(md5(s.id), 1, 1) AS d, row_number() OVER (PARTITION BY k.pull_request_id ORDER BY s.id) AS ordinal
+  FROM known k JOIN v_symbols s ON s.file_id = k.file_id WHERE s.kind IN ('function', 'method')),
+c AS (SELECT *, coalesce({_LABELS}, 'signature_change') AS classification FROM s), exact AS (SELECT repository_id, qualified_name, min(id) AS symbol_id FROM v_symbols GROUP BY 1, 2),
+calls AS (SELECT DISTINCT k.callee_id, x.id AS caller_id, x.qualified_name AS caller_name, f.path AS caller_path, x.start_line AS caller_line FROM v_symbol_calls k JOIN v_symbols x ON x.id = k.caller_id JOIN v_files f ON f.id = x.file_id),
+placed AS (SELECT c.pull_request_id, c.ordinal, c.qualified_name, c.file_path, c.classification, k.caller_id, k.caller_name, k.caller_path, k.caller_line, row_number() OVER (PARTITION BY c.pull_request_id, c.ordinal ORDER BY k.caller_name, k.caller_id) AS place
+  FROM c JOIN exact e ON e.repository_id = c.repository_id AND e.qualified_name = c.qualified_name JOIN calls k ON k.callee_id = e.symbol_id WHERE c.classification IN ('deleted', 'signature_change', 'return_type_change', 'exception_change'))
+SELECT * FROM placed WHERE place <= 10""",
     "c1_related_prs": f"""WITH {_search('v_pull_requests')},
 touched AS (SELECT DISTINCT x.pull_request_id, f.path FROM v_pr_contains_commit x JOIN v_commit_modifies_file m ON m.commit_id = x.commit_id JOIN v_files f ON f.id = m.file_id),
 sets AS (SELECT pull_request_id, list(path) AS paths FROM touched GROUP BY 1),
