@@ -10,12 +10,14 @@ import ast
 import hashlib
 import io
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithograph.functions.text import LANGUAGE_EXTENSIONS
+
 SYMBOL = "struct<qualified_name: string, kind: string, signature: string, ast_hash: string, start_line: int, end_line: int>"
 IMPORT = "struct<place: int, raw: string, module: string, symbol: string, alias: string, kind: string, lazy: boolean>"
 CALL = "struct<caller_qualified_name: string, target_name: string, line: int, kind: string, dynamic: boolean>"
@@ -135,28 +137,48 @@ def calls(source: str, tree: ast.Module) -> list[dict]:
     return out
 
 
+def parsed_python(source: str) -> tuple[list[dict], list[dict], list[dict]]:
+    """Symbols, imports and calls of a Python source; a SyntaxError or ValueError if it does not parse."""
+    tree = ast.parse(source)
+    return symbols(source, tree), imports(source, tree), calls(source, tree)
+
+
+#: From a source to its symbols, imports and calls, in the shapes of SYMBOL, IMPORT and CALL.
+Parser = Callable[[str], tuple[list[dict], list[dict], list[dict]]]
+#: Parsers by language. What ``register`` adds must be importable on executors, or small enough to travel with a task.
+PARSERS: dict[str, Parser] = {"python": parsed_python}
+
+
+def register(language: str, extensions: Sequence[str], parser: Parser) -> None:
+    """Lets files with these extensions (with their dot) be parsed as a language; a later parser of a language replaces the earlier one."""
+    PARSERS[language] = parser
+    for extension in extensions:
+        LANGUAGE_EXTENSIONS[extension] = language
+
+
 def extracted(files: DataFrame, text: str = "content", language: str | None = None) -> DataFrame:
-    """``files`` (any columns) with symbols, imports and calls of each Python text, and ``parsed``.
+    """``files`` (any columns) with symbols, imports and calls of each text, and ``parsed``.
 
-    Null texts, other languages and texts that do not parse have empty lists
-    and parsed = false. Repeated rows are parsed each.
+    Texts are parsed by the parser of their language, as Python if no column
+    names it. Null texts, languages without a parser and texts that do not
+    parse have empty lists and parsed = false. Repeated rows are parsed each.
     """
     names = [c for c in files.columns if c not in ("symbols", "imports", "calls", "parsed")]
     at, lang = names.index(text), names.index(language) if language else None
     codes = [f"__{i}" for i in range(len(names))]
+    parsers = dict(PARSERS)
     rows = files.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, codes, strict=True)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: dict[str, list] = {"symbols": [], "imports": [], "calls": [], "parsed": []}
             for i, source in enumerate(frame.iloc[:, at]):
-                good = isinstance(source, str) and (lang is None or frame.iloc[i, lang] == "python")
+                parser = parsers.get("python" if lang is None else frame.iloc[i, lang]) if isinstance(source, str) else None
                 try:
-                    tree = ast.parse(source) if good else None
-                    values = (symbols(source, tree), imports(source, tree), calls(source, tree)) if tree else ([], [], [])
+                    values = parser(source) if parser else None
                 except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError):
-                    tree, values = None, ([], [], [])
-                for key, value in zip(found, (*values, tree is not None), strict=True):
+                    values = None
+                for key, value in zip(found, (*(values or ([], [], [])), values is not None), strict=True):
                     found[key].append(value)
             yield frame.assign(**found)
 

@@ -46,7 +46,7 @@ def parsed_files(sources: DataFrame) -> DataFrame:
     rows = sources.select("repository_id", "path", "content").where(F.col("path").isNotNull() & F.col("content").isNotNull())
     rows = with_order(rows.groupBy("repository_id", "path").agg(F.min("content").alias("content"))).withColumn("language", tx.language_by_extension(F.col("path"))).where(F.col("language").isNotNull())
     rows = rows.withColumn("id", hashed(F.col("repository_id"), F.col("path"))).withColumn("content_hash", tx.content_hash(F.col("content")))
-    return extracted(rows)
+    return extracted(rows, language="language")
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:

@@ -116,3 +116,35 @@ def test_repositories_and_bookmarks(spark):
     both = merge.repositories_ensured(old, spark.createDataFrame([("9", "a", "x", "new"), ("2", "a", "y", None)], shape))
     marked = merge.bookmarked(both, spark.createDataFrame([("2", "s1")], "id string, head_sha string"))
     assert sorted(map(tuple, marked.collect())) == [("1", "a", "x", "s0"), ("2", "a", "y", "s1")]
+
+
+def test_upserts_of_full_builds(spark):
+    files = spark.createDataFrame([("r", "a.py", "h1", "s1", "s1")], "repository_id string, path string, content_hash string, first_seen_sha string, last_seen_sha string")
+    seen = spark.createDataFrame([("r", "a.py", "h1", "s2", "s2"), ("r", "a.py", "h2", "s2", "s2")], files.schema)
+    assert sorted(map(tuple, merge.files_recorded(files, seen).collect())) == [("r", "a.py", "h1", "s1", "s2"), ("r", "a.py", "h2", "s2", "s2")]
+
+
+def test_versions_are_kept_as_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merge, "COMPACT", 2)
+    keys = {"t": ("k",)}
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    gone = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    merge.save_changes({"t": (gone(), rows(("a", 1), ("b", 1)))}, str(tmp_path), 1)
+    merge.save_changes({"t": (gone("a"), rows(("a", 2)))}, str(tmp_path), 2)
+    merge.save_whole(merge.open_since(spark, str(tmp_path), 0, 2, keys), str(tmp_path), 2)
+    merge.save_changes({"t": (gone("b"), rows(("c", 3)))}, str(tmp_path), 3)
+    opened = [sorted(map(tuple, merge.open_version(spark, str(tmp_path), v, keys)["t"].collect())) for v in (1, 2, 3)]
+    assert opened == [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)], [("a", 2), ("c", 3)]]
+
+
+def test_index_job(spark, tmp_path):
+    from lithograph import index_job
+
+    (tmp_path / "tree/pkg").mkdir(parents=True)
+    for path, text in {"pkg/a.py": "def foo():\n    return 1\n", "pkg/b.py": "from .a import foo\ndef bar():\n    return foo()\n"}.items():
+        (tmp_path / "tree" / path).write_text(text)
+    given = ["--path", f"{tmp_path}/tree", "--owner", "o", "--name", "n", "--github-id", "1", "--out", f"{tmp_path}/graph"]
+    assert index_job.run(spark, index_job.arguments([*given, "--head-sha", "abcdef1"])) == {"files": 2, "symbols": 2, "symbol_calls": 1, "adrs": 0}
+    for wrong in (["--depth", "0"], ["--head-sha", "xyz"], ["--with-embeddings"]):
+        with pytest.raises(SystemExit):
+            index_job.arguments([*given, *wrong])
