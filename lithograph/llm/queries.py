@@ -36,6 +36,7 @@ def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = once(parts[0].unionByName(parts[1]).where(F.col("record_id").isNotNull()), "record_table", "record_id")
     texts = checkpointed(texts)
     known = personal.gazetteers(texts, "text", load(spark, sf_dir, "persons").select("name"))
+    texts = checkpointed(personal.marked(texts, "text", known))
     return personal.redacted(texts, "text", personal.fit(texts, "text", known))
 
 

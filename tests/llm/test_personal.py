@@ -59,3 +59,48 @@ def test_empty_corpus(spark):
 def test_estimates_follow_the_reliable_labeler():
     p = personal.estimate({("name", "++00+0"): 900, ("name", "-000-0"): 300, ("name", "+000-0"): 50, ("name", "-00000"): 10})
     assert p[("name", "++00+0")] > 0.9 > 0.2 > p[("name", "-000-0")]
+
+
+# Sentences written apart from the test tables and from the corpus above.
+OTHERS = [
+    ("Call me on 98765 43210 after lunch.",[("phone","98765 43210")]),
+    ("The form says CPF 123.456.789-09 and must not be stored.",[("id_number","123.456.789-09")]),
+    ("Deliver to ul. Długa 5, 00-238 Warszawa please.",[("address","ul. Długa 5, 00-238 Warszawa")]),
+    ("This was first noticed by 王小明 yesterday.",[("name","王小明")]),
+    ("I spoke with Olumide Adeyemi about the rollout.",[("name","Olumide Adeyemi")]),
+    ("Rahul Deshpande said the index is too slow.",[("name","Rahul Deshpande")]),
+    ("Chinedu Okafor will look at it on Monday.",[("name","Chinedu Okafor")]),
+    ("Write to billing.desk@northwind.example or to old_box@southwind.test.",[("email","billing.desk@northwind.example"),("email","old_box@southwind.test")]),
+    ("My number is +44 7911 123456, ring before noon.",[("phone","+44 7911 123456")]),
+    ("Phone: (212) 555-0188",[("phone","(212) 555-0188")]),
+    ("Her social security number is 078-05-1120.",[("id_number","078-05-1120")]),
+    ("They moved to 221 Baker Street, London NW1 6XE last year.",[("address","221 Baker Street, London NW1 6XE")]),
+    ("The parcel for 12 rue de la Paix, 75002 Paris came back.",[("address","12 rue de la Paix, 75002 Paris")]),
+    ("Besuch bitte in der Lindenstraße 14, 10969 Berlin melden.",[("address","Lindenstraße 14, 10969 Berlin")]),
+    ("ask jane dot doe at example dot org",[("email","jane dot doe at example dot org")]),
+    ("Thanks to Ingrid Bergqvist for the patch.",[("name","Ingrid Bergqvist")]),
+    ("cc: T. Nakamura, please review.",[("name","T. Nakamura")]),
+    ("Passport no. XK1234567 was in the log.",[("id_number","XK1234567")]),
+    ("Reach support at help [at] vendor [dot] example.",[("email","help [at] vendor [dot] example")]),
+    ("Send it to 4 Privet Drive, Little Whinging.",[("address","4 Privet Drive, Little Whinging")]),
+    ("Upgrade to 10.4.2.1 failed on build 20240318.", []), ("Order 2024-12-3456 has 555 0123 rows", []), ("", []),
+]
+
+
+def test_sentences_of_other_origin(model):
+    wanted = {(t, k, x) for t, found in OTHERS for k, x in found}
+    got = {(t, k, t[a:b]) for t, _ in OTHERS for k, a, b in personal.decide(t, model)}
+    assert len(wanted & got) >= 0.9 * len(wanted) and len(got - wanted) <= 2
+
+
+def test_unknown_names_do_not_depend_on_the_size_of_the_gazetteer():
+    few, many = (personal.Gazetteers(frozenset(f"Nam{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)), frozenset()) for n in (3, 600))
+    text = "I spoke with Olumide Adeyemi about it."
+    assert [personal.votes(text, ("name", 13, 28), g) for g in (few, many)] == [personal.votes(text, ("name", 13, 28), few)] * 2
+
+
+def test_every_labeler_may_be_the_only_one_that_speaks_against():
+    p = personal.estimate({("name", "+++0+0"): 900, ("name", "+00-0-"): 400, ("name", "+000-0"): 200})
+    assert p[("name", "+++0+0")] > 0.9 > 0.1 > max(p[("name", "+00-0-")], p[("name", "+000-0")])
+    only = personal.estimate({("email", "+++0+0"): 500, ("email", "+++000"): 100})
+    assert min(only.values()) > 0.9
