@@ -17,13 +17,14 @@ PIECE_TOKENS, OVERLAP_TOKENS = 512, 64
 
 def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = once(load(spark, sf_dir, "files").select("id", "path", "language").where(F.col("id").isNotNull()), "id")
-    texts = once(load(spark, sf_dir, "source_texts").select(F.col("file_id").alias("id"), "content").where(F.col("id").isNotNull()), "id")
-    return sources.classified(files.join(texts, "id", "left"))
+    # What texts show is taken where they are read, so that no text is sorted or shuffled.
+    texts = sources.signs(load(spark, sf_dir, "source_texts").select(F.col("file_id").alias("id"), "content").where(F.col("id").isNotNull()))
+    return sources.judged(files.join(once(texts, "id"), "id", "left"))
 
 
 def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, path, lang, origin and the layout statistics of each file."""
-    return _origins(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "lang", "n_chars", "n_lines", *sources.LIMITS, "origin")
+    """file_id, path, lang, origin, what shows it, and the layout statistics of each file."""
+    return _origins(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "lang", "n_chars", "n_lines", *sources.LIMITS, "origin", "evidence")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

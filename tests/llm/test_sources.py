@@ -69,3 +69,17 @@ def test_language(spark):
 
     df = spark.createDataFrame([("a.PY", None), ("b", "JavaScript"), ("c.unknown", "klingon"), (None, None)], "p string, l string")
     assert [r[0] for r in df.select(sources.language_of(F.col("p"), F.col("l"))).collect()] == ["python", "javascript", "other", "other"]
+
+
+def test_short_files_are_judged_by_what_they_surely_show(spark):
+    texts = ["a = [" + ",".join(str(1000 + i) for i in range(24)) + "]\n", "PORT = 8080\n", "v" + "a1B2" * 20 + "\n", "x = 1\n", "for a, b in c:\n    d(a)\n"]
+    df = spark.createDataFrame([(i, f"s/{i}.py", "python", t) for i, t in enumerate(texts)] + [(100 + i, f"src/{i}.py", "python", CODE) for i in range(20)], "id int, path string, language string, content string")
+    got = {r.id: (r.origin, r.evidence) for r in sources.classified(df).collect()}
+    assert [got[i] for i in range(5)] == [("data", "layout"), ("hand_written", None), ("data", "layout"), ("hand_written", None), ("hand_written", None)]
+
+
+def test_runs_are_read_whole(spark):
+    run = "A" * 400 + "b7" + "C" * 300
+    df = spark.createDataFrame([("s/a.py", "python", f'x = "{run}"\n'), ("s/b.py", "python", "y" * 300_000)], "path string, language string, content string")
+    shares = {r.path: r.encoded_share for r in sources.classified(df).collect()}
+    assert shares["s/a.py"] > 0.9 and shares["s/b.py"] == 0
