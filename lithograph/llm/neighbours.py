@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, exact reranking.
 
 1. Coarse centroids and the codebooks of the residuals are fitted on a bounded
-   sample (``SAMPLE`` vectors). The same sample tells how many lists a query
+   sample (``SAMPLE`` vectors, or ``PER_LIST`` for each list if that is more). The same sample tells how many lists a query
    must visit for the wanted recall.
 2. Every vector enters the list of its nearest centroid, with its residual as
    one byte per ``SUB`` dimensions. As a query it visits its nearest lists.
@@ -10,17 +10,17 @@
    distances (query against codes) choose the candidates and exact similarities
    with the stored vectors rank them. Where the error of the codes leaves open
    whether better ones were missed, the query is compared with the whole block.
-4. The best k of each query's blocks are merged.
+4. A task keeps the best of each query over its blocks, and the tasks' are merged.
 
-Queries travel in half precision; similarities that decide on a bound can be
-computed once more from the full vectors with ``exact``.
+Vectors travel in half precision, which changes a similarity by less than
+``HALF``; where that matters, ``exact`` computes it from the full vectors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from lithograph.tables import checkpointed
 
-#: Vectors in the sample that centroids and codebooks are fitted on, about.
-SAMPLE = 30_000
+#: Vectors in the sample that centroids and codebooks are fitted on, about; PER_LIST for each list if that is more.
+SAMPLE, PER_LIST = 30_000, 16
+#: Lists at most: as many as a quarter of the root of 10^11 vectors. Beyond, lists grow.
+MOST_LISTS = 1 << 16
 #: Dimensions per code byte.
 SUB = 2
 #: Recall that the number of visited lists is chosen for, measured within the sample.
@@ -39,18 +41,27 @@ TARGET_RECALL = 0.94
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
 #: Candidates per query and block that asymmetric distances let through at first, about.
 CANDIDATES = 16
+#: What half precision changes a similarity by at most: two roundings of 2^-11 each, and that of the sum.
+HALF = 0.001
 #: Cells of a matrix of distances, so that it stays in a core's cache.
 _CELLS = 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids (lists x dim), codebooks (subspaces x codes x SUB), the number of lists a query visits, and the recall measured in the sample."""
+    """Centroids (lists x dim), codebooks (subspaces x codes x SUB), the number of lists a query visits, the recall measured in the sample, and each list's share of vectors and of queries."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
     visits: int
     recall: float
+    stored: np.ndarray
+    visited: np.ndarray
+
+
+def lists_of(count: int) -> int:
+    """The number of lists for that many vectors."""
+    return int(min(max(16, math.isqrt(max(count, 1)) // 3), MOST_LISTS))
 
 
 def _means(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, unit: bool = False) -> np.ndarray:
@@ -72,7 +83,7 @@ def fit(sample: np.ndarray, count: int, k: int, target: float = TARGET_RECALL, s
     """An index for ``count`` vectors, fitted on a sample of them."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    lists = int(min(max(16, math.isqrt(max(count, 1)) // 3), 4096, max(1, len(sample) // 8)))
+    lists = min(lists_of(count), max(1, len(sample) // 8))
     centroids = _means(sample, lists, rng, unit=True)
     near = np.concatenate([(sample[i : i + 8192] @ centroids.T).argmax(axis=1) for i in range(0, len(sample), 8192)])
     residual = (sample - centroids[near]).reshape(len(sample), dim // SUB, SUB)
@@ -90,7 +101,11 @@ def fit(sample: np.ndarray, count: int, k: int, target: float = TARGET_RECALL, s
     # As many lists as the target needs, and at least the four nearest, where close copies lie.
     reached = np.cumsum(np.bincount(place.ravel(), minlength=lists)) / max(1, place.size)
     visits = int(min(lists, max(4, np.searchsorted(reached, target) + 1)))
-    return Index(centroids, books, visits, float(reached[visits - 1]))
+    index = Index(centroids, books, visits, float(reached[visits - 1]), np.bincount(near, minlength=lists) / len(sample), np.empty(0))
+    seen = np.zeros(lists)
+    for i in range(0, len(sample), 8192):
+        seen += np.bincount(_visits(sample[i : i + 8192], index).ravel(), minlength=lists)
+    return replace(index, visited=seen / len(sample))
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -98,9 +113,9 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
     Null vectors, those of another length or with a null, NaN or infinite entry
     and zero vectors are left out, as are null keys. A key with several vectors
-    keeps the least one.
+    keeps one of them, the same in every run.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & (F.size("v") == dim)).groupBy("key").agg(F.min("v").alias("v"))
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & (F.size("v") == dim))
     kind = rows.schema["key"].dataType.simpleString()
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +129,9 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), _binary(x)], names=["key", "vec"])
 
-    return rows.mapInArrow(unit, f"key {kind}, vec binary").select(F.monotonically_increasing_id().alias("n"), "key", "vec")
+    # Repeated keys are settled on the shorter unit vectors.
+    units = rows.mapInArrow(unit, f"key {kind}, vec binary").groupBy("key").agg(F.min("vec").alias("vec"))
+    return units.select(F.monotonically_increasing_id().alias("n"), "key", "vec")
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -143,6 +160,20 @@ def _lists(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return near, codes
 
 
+def _visits(x: np.ndarray, index: Index) -> np.ndarray:
+    """The lists that each vector visits."""
+    s = x @ index.centroids.T
+    return np.argpartition(-s, min(index.visits, s.shape[1]) - 1, axis=1)[:, : index.visits].astype(np.int32)
+
+
+def _best(row: np.ndarray, other: np.ndarray, true: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar others of each row, rows in order and the best first."""
+    order = np.lexsort((other, -true, row))
+    row, other, true = row[order], other[order], true[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[kept], other[kept], true[kept]
+
+
 def _ranked(row: np.ndarray, col: np.ndarray, true: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows with their vectors and similarities, best first, and which of them are among the best k of the row."""
     # Similarities lie within one of zero, so rows stay apart.
@@ -201,82 +232,134 @@ def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes:
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(found, (np.int64, np.int64, np.float32), strict=True))
 
 
+#: Hits that a task holds before it keeps the best of each query.
+_HELD = 2_000_000
+
+
 def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECALL) -> DataFrame:
-    """n, other (row numbers of ``usable``, which must be checkpointed) and similarity of the k most similar others of each vector.
+    """n, other (row numbers of ``usable``, which must be checkpointed), similarity and rank of the k most similar others of each vector.
+
+    ``last`` and ``before`` are the similarities at the ranks k and k - 1, -2
+    where there are fewer; they tell how sure the last rank is.
 
     Fewer than k rows come only where fewer other vectors were visited. Equal
     vectors are neighbours of similarity 1. An empty table gives no rows.
     """
     count = vectors.count()
-    shape = "n long, other long, similarity float"
+    shape = "n long, other long, similarity float, rank int, last float, before float"
     if not count:
         return vectors.sparkSession.createDataFrame([], shape)
-    buckets = 1 << 24
-    sampled = vectors.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) < math.ceil(buckets * min(1.0, SAMPLE / count))).select("vec").toArrow()
+    buckets, wanted = 1 << 24, max(SAMPLE, PER_LIST * lists_of(count))
+    sampled = vectors.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) < math.ceil(buckets * min(1.0, wanted / count))).select("vec").toArrow()
     sample = _matrix(sampled.column(0), np.float32, dim)
     if not len(sample):
         sample = _matrix(vectors.select("vec").limit(1000).toArrow().column(0), np.float32, dim)
     # The order in which rows arrive differs from run to run; the index must not.
     index = fit(sample[np.lexsort(sample.T[:4])], count, k, target)
+    d_blocks = [max(1, math.ceil(x * count / BLOCK_VECTORS)) for x in index.stored.tolist()]
+    q_blocks = [max(1, math.ceil(x * count / BLOCK_QUERIES)) for x in index.visited.tolist()]
+    base = np.concatenate(([0], np.cumsum(np.multiply(d_blocks, q_blocks)))).tolist()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, codes = _lists(_matrix(batch.column(1), np.float32, dim), index)
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), batch.column(1), _binary(codes)], names=["list", "n", "vec", "code"])
+            x = _matrix(batch.column(1), np.float32, dim)
+            near, codes = _lists(x, index)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), _binary(x.astype(np.float16)), _binary(codes)], names=["list", "n", "vec", "code"])
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), np.float32, dim)
-            s = x @ index.centroids.T
-            visits = min(index.visits, s.shape[1])
-            to = np.argpartition(-s, visits - 1, axis=1)[:, :visits].astype(np.int32)
-            row = np.repeat(np.arange(len(x)), visits)
-            half = x.astype(np.float16)
-            for start in range(0, len(row), 50_000):
-                part = slice(start, start + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(to.ravel()[part]), batch.column(0).take(pa.array(row[part])), _binary(half[row[part]])], names=["list", "n", "query"])
+            for start in range(0, len(x), 4096):
+                some = x[start : start + 4096]
+                to = _visits(some, index)
+                row = np.repeat(np.arange(len(some)), to.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), batch.column(0).slice(start, len(some)).take(pa.array(row)), _binary(some.astype(np.float16)[row])], names=["list", "n", "query"])
 
     rows = vectors.select("n", "vec")
-    data = checkpointed(rows.mapInArrow(listed, "list int, n long, vec binary, code binary"))
-    # One row per list, at most 4096 of them. How often each list is visited is estimated from the sample.
-    stored = {r["list"]: r["count"] for r in data.groupBy("list").count().collect()}
-    s = sample @ index.centroids.T
-    visited = np.bincount(np.argpartition(-s, index.visits - 1, axis=1)[:, : index.visits].ravel(), minlength=len(index.centroids)) * (count / len(sample)) if index.visits < s.shape[1] else np.full(s.shape[1], float(count))
-    d_blocks = [max(1, math.ceil(stored.get(i, 0) / BLOCK_VECTORS)) for i in range(len(index.centroids))]
-    q_blocks = [max(1, math.ceil(v / BLOCK_QUERIES)) for v in visited.tolist()]
-    base = np.concatenate(([0], np.cumsum(np.multiply(d_blocks, q_blocks)))).tolist()
+    # One row per list.
     sizes = vectors.sparkSession.createDataFrame([(i, int(d), int(q), int(b)) for i, (d, q, b) in enumerate(zip(d_blocks, q_blocks, base[:-1], strict=True))], "list int, d int, q int, base int")
     placed = lambda df, own, all_: df.join(F.broadcast(sizes), "list").withColumn("own", F.pmod(F.xxhash64("n"), F.col(own)).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col(all_) - 1)))
     left = placed(rows.mapInArrow(visiting, "list int, n long, query binary"), "q", "d").select((F.col("base") + F.col("each") * F.col("q") + F.col("own")).alias("block"), "n", "query")
-    right = placed(data, "d", "q").select((F.col("base") + F.col("own") * F.col("q") + F.col("each")).alias("block"), "list", "n", "vec", "code")
+    right = placed(rows.mapInArrow(listed, "list int, n long, vec binary, code binary"), "d", "q").select((F.col("base") + F.col("own") * F.col("q") + F.col("each")).alias("block"), "list", "n", "vec", "code")
+    hits = pa.schema([("n", pa.int64()), ("others", pa.binary()), ("similar", pa.binary())])
+
+    def packed(n: np.ndarray, other: np.ndarray, similar: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.diff(n, prepend=n[0] - 1)) if len(n) else np.empty(0, np.int64)
+        cut = np.append(at, len(n))
+        parts = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (other.astype(np.int64), similar.astype(np.float32))]
+        return pa.RecordBatch.from_arrays([pa.array(n[at], pa.int64()), *parts], schema=hits)
+
+    def flat(column: pa.ChunkedArray | pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)
+        return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(dtype), (at - at[0]) // np.dtype(dtype).itemsize
 
     def block(queries: pa.Table, stored: pa.Table) -> pa.Table:
-        empty = pa.table({"n": pa.array([], pa.int64()), "hits": pa.array([], pa.list_(pa.struct([("similarity", pa.float32()), ("other", pa.int64())])))})
         if not queries.num_rows or not stored.num_rows:
-            return empty
+            return hits.empty_table()
         q = _matrix(queries.column("query"), np.float16, dim).astype(np.float32)
+        d, codes = _matrix(stored.column("vec"), np.float16, dim).astype(np.float32), _matrix(stored.column("code"), np.uint8, dim // SUB)
         qn = queries.column("n").to_numpy()
-        d, codes = _matrix(stored.column("vec"), np.float32, dim), _matrix(stored.column("code"), np.uint8, dim // SUB)
-        row, other, similarity = _search(q, qn, d, stored.column("n").to_numpy(), codes, stored.column("list").to_numpy(), index, k)
-        at = np.flatnonzero(np.diff(row, prepend=-1))
-        hits = pa.StructArray.from_arrays([pa.array(similarity, pa.float32()), pa.array(other, pa.int64())], names=["similarity", "other"])
-        return pa.table({"n": pa.array(qn[row[at]], pa.int64()), "hits": pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), hits)})
+        row, other, similar = _search(q, qn, d, stored.column("n").to_numpy(), codes, stored.column("list").to_numpy(), index, k)
+        return pa.Table.from_batches([packed(*_best(qn[row], other, similar, k))], hits)
 
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block, "n long, hits array<struct<similarity: float, other: long>>")
-    best = found.groupBy("n").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits")), asc=False), 1, k).alias("hits"))
-    return best.select("n", F.inline("hits")).select("n", "other", "similarity")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            other, at = flat(batch.column(1), np.int64)
+            kept.append((np.repeat(batch.column(0).to_numpy(), np.diff(at)), other, flat(batch.column(2), np.float32)[0]))
+            size += len(other)
+            if size > _HELD:
+                kept = [_best(*map(np.concatenate, zip(*kept, strict=True)), k)]
+                if len(kept[0][0]) > _HELD // 2:
+                    yield packed(*kept[0])
+                    kept = []
+                size = sum(len(x[0]) for x in kept)
+        if kept:
+            yield packed(*_best(*map(np.concatenate, zip(*kept, strict=True)), k))
+
+    packed_shape = "n long, others binary, similar binary"
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block, packed_shape).mapInArrow(merged, packed_shape)
+    # All hits of a query meet in one partition, where the same merge settles them.
+    return found.repartition("n").mapInArrow(_settled(k, hits, flat), shape)
+
+
+def _settled(k: int, hits: pa.Schema, flat: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows], hits)
+        if not table.num_rows:
+            return
+        other, at = flat(table.column(1), np.int64)
+        n, other, similar = _best(np.repeat(table.column(0).combine_chunks().to_numpy(), np.diff(at)), other, flat(table.column(2), np.float32)[0], k)
+        place = np.arange(len(n)) - np.searchsorted(n, n, "left")
+        # Similarity at the last place asked for and at the one before, -2 where there are fewer.
+        ends = []
+        for at_place in (k - 1, k - 2):
+            there = place == at_place
+            where = np.minimum(np.searchsorted(n[there], n), max(0, int(there.sum()) - 1))
+            ends.append(np.where(n[there][where] == n, similar[there][where], np.float32(-2)) if there.any() else np.full(len(n), -2, np.float32))
+        for i in range(0, len(n), 100_000):
+            part = slice(i, i + 100_000)
+            columns = (n[part], other[part], similar[part].astype(np.float32), place[part].astype(np.int32) + 1, ends[0][part].astype(np.float32), ends[1][part].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "other", "similarity", "rank", "last", "before"])
+
+    return run
 
 
 def exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """``pairs`` of n and other with their keys, key and other_key, and the similarity of the full vectors."""
+    """``pairs`` of n and other with their keys, key and other_key, and the similarity of the full vectors. Other columns are kept."""
     one = vectors.select("n", "key", "vec")
     two = vectors.select(F.col("n").alias("other"), F.col("key").alias("other_key"), F.col("vec").alias("other_vec"))
-    joined = pairs.select("n", "other").join(one, "n").join(two, "other").select("key", "other_key", "vec", "other_vec")
-    kind = joined.schema["key"].dataType.simpleString()
+    kept = [c for c in pairs.columns if c not in ("key", "other_key", "similarity")]
+    joined = pairs.select(*kept).join(one, "n").join(two, "other").select("vec", "other_vec", *kept, "key", "other_key")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[2:]) + ", similarity double"
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (_matrix(batch.column(c), np.float32, dim).astype(np.float64) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["key", "other_key", "similarity"])
+            a, b = (_matrix(batch.column(c), np.float32, dim).astype(np.float64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.einsum("ij,ij->i", a, b))], names=[*batch.schema.names[2:], "similarity"])
 
-    return joined.mapInArrow(product, f"key {kind}, other_key {kind}, similarity double")
+    return joined.mapInArrow(product, shape)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.llm import identities, neighbours, packing, personal, sources, splitting, tokens
@@ -64,29 +65,38 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     vectors = checkpointed(neighbours.usable(load(spark, sf_dir, table), key, vector, DIM))
-    return vectors, neighbours.neighbours(vectors, NEIGHBOURS, DIM)
+    return vectors, neighbours.neighbours(vectors, NEIGHBOURS + 1, DIM)
+
+
+def _close(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> DataFrame:
+    """id_a, id_b of the pairs of one table; what half precision leaves open is decided by the full vectors."""
+    vectors, near = _near(spark, sf_dir, table, key, vector)
+    half = neighbours.HALF
+    near = checkpointed(near.where(F.col("similarity") >= SIMILAR - half).withColumn("tight", (F.col("before") - F.col("last") < 2 * half) & (F.col("last") >= SIMILAR - half)))
+    first = F.col("rank") <= NEIGHBOURS
+    open_ = F.col("tight") | (first & (F.col("similarity") <= SIMILAR + half))
+    seen = neighbours.exact(near.where(open_).select("n", "other", "tight"), vectors, DIM)
+    place = F.row_number().over(W.partitionBy("n").orderBy(F.desc("similarity"), "other"))
+    decided = seen.withColumn("place", place).where((F.col("similarity") >= SIMILAR) & (~F.col("tight") | (F.col("place") <= NEIGHBOURS)))
+    pairs = near.where(first & ~open_).select("n", "other").unionByName(decided.select("n", "other")).select(F.least("n", "other").alias("n"), F.greatest("n", "other").alias("other")).distinct()
+    keys = vectors.select("n", F.col("key").alias("a"))
+    named = pairs.join(keys, "n").join(keys.select(F.col("n").alias("other"), F.col("a").alias("b")), "other")
+    return named.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id_a, id_b of each pair of at least 0.87 of which one is among the five most similar of the other."""
-    found = None
-    for table, key, vector in VECTORS:
-        vectors, near = _near(spark, sf_dir, table, key, vector)
-        # Queries were rounded to half precision, by less than 0.002 in similarity; the full vectors decide.
-        close = near.where(F.col("similarity") >= SIMILAR - 0.002).select(F.least("n", "other").alias("n"), F.greatest("n", "other").alias("other")).distinct()
-        pairs = neighbours.exact(close, vectors, DIM).where(F.col("similarity") >= SIMILAR).select(F.least("key", "other_key").alias("id_a"), F.greatest("key", "other_key").alias("id_b"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    parts = [_close(spark, sf_dir, *v) for v in VECTORS]
+    return parts[0].unionByName(parts[1])
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_name, id, other_id, similarity of the five most similar vectors of every vector."""
+    """table_name, id, other_id, similarity of the five most similar vectors of every vector; similarities are those of the full vectors."""
     found = None
     for table, key, vector in VECTORS:
         vectors, near = _near(spark, sf_dir, table, key, vector)
-        names = vectors.select("n", "key")
-        rows = near.join(names.select("n", F.col("key").alias("id")), "n").join(names.select(F.col("n").alias("other"), F.col("key").alias("other_id")), "other")
-        rows = rows.select(F.lit(table).alias("table_name"), "id", "other_id", "similarity")
+        rows = neighbours.exact(near.where(F.col("rank") <= NEIGHBOURS).select("n", "other"), vectors, DIM)
+        rows = rows.select(F.lit(table).alias("table_name"), F.col("key").alias("id"), F.col("other_key").alias("other_id"), "similarity")
         found = rows if found is None else found.unionByName(rows)
     return found
 
