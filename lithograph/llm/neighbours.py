@@ -4,7 +4,8 @@
    sample (``SAMPLE`` vectors, or ``PER_LIST`` for each list if that is more). The same sample tells how many lists a query
    must visit for the wanted recall.
 2. Every vector enters the list of its nearest centroid, with its residual as
-   one byte per ``SUB`` dimensions. As a query it visits its nearest lists.
+   one byte per ``SUB`` dimensions. What it finds in its own list is a bar that
+   vectors of other lists must reach. As a query it visits its nearest lists.
 3. A list and its queries meet in blocks of bounded size, so that a list that
    holds a third of all vectors is work for many tasks. In a block, asymmetric
    distances (query against codes) choose the candidates and exact similarities
@@ -39,8 +40,6 @@ SUB = 2
 TARGET_RECALL = 0.94
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
-#: Candidates per query and block that asymmetric distances let through at first, about.
-CANDIDATES = 16
 #: What half precision changes a similarity by at most: two roundings of 2^-11 each, and that of the sum.
 HALF = 0.001
 #: Cells of a matrix of distances, so that it stays in a core's cache.
@@ -174,60 +173,60 @@ def _best(row: np.ndarray, other: np.ndarray, true: np.ndarray, k: int) -> tuple
     return row[kept], other[kept], true[kept]
 
 
-def _ranked(row: np.ndarray, col: np.ndarray, true: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with their vectors and similarities, best first, and which of them are among the best k of the row."""
-    # Similarities lie within one of zero, so rows stay apart.
-    order = np.argsort(4.0 * row - true, kind="stable")
-    row, col, true = row[order], col[order], true[order]
-    return row, col, true, np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+def _decoded(codes: np.ndarray, lists: np.ndarray, index: Index) -> np.ndarray:
+    return np.concatenate([book[codes[:, m]] for m, book in enumerate(index.codebooks)], axis=1) + index.centroids[lists]
 
 
-def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes: np.ndarray, lists: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of queries with the vectors found for them and their similarities, best first."""
+def _bars(x: np.ndarray, k: int) -> np.ndarray:
+    """For each vector of a block, how similar its k-th nearest in the block is; -2 where it has fewer."""
+    bars = np.full(len(x), -2, dtype=np.float32)
+    if len(x) > k:
+        for i in range(0, len(x), step := max(1, _CELLS // len(x))):
+            s = x[i : i + step] @ x.T
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
+            bars[i : i + step] = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+    return bars
+
+
+def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes: np.ndarray, lists: np.ndarray, index: Index, k: int, bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries with the vectors found for them and their similarities, best first.
+
+    ``bars`` are similarities that a vector must reach to matter to a query;
+    without one (-2) the query is compared with the whole block.
+    """
     # The sum of a query's table entries over a code is its product with the decoded code, so
     # the asymmetric distances of a block are one matrix product.
-    decoded = np.concatenate([book[codes[:, m]] for m, book in enumerate(index.codebooks)], axis=1) + index.centroids[lists]
-    found: tuple[list, list, list] = ([], [], [])
-    step = max(1, _CELLS // max(1, len(d)))
-    # A normal tail lets about CANDIDATES through; near copies lie far above it.
-    share = min(1.0, CANDIDATES / max(1, len(d)))
-    bar = math.sqrt(max(0.0, -2 * math.log(max(share, 1e-12)))) if share < 0.5 else -math.inf
-    if math.isfinite(bar) and bar > 0:
-        bar -= (2.515517 + 0.802853 * bar + 0.010328 * bar**2) / (1 + 1.432788 * bar + 0.189269 * bar**2 + 0.001308 * bar**3)
-    some = slice(None, None, max(1, len(d) // 256))
+    decoded = _decoded(codes, lists, index)
     # What a code's similarity to a query of length one is off by at most.
     error = float(np.sqrt(((d - decoded) ** 2).sum(axis=1).max()))
+    bars = np.full(len(q), -2, np.float32) if bars is None else bars
+    found: tuple[list, list, list] = ([], [], [])
+    step = max(1, _CELLS // max(1, len(d)))
     for start in range(0, len(q), step):
-        part = q[start : start + step]
-        s = part @ decoded.T
-        if math.isfinite(bar):
-            seen = s[:, some]
-            mean = seen.mean(axis=1)
-            kth = mean + bar * np.sqrt(np.maximum(np.einsum("ij,ij->i", seen, seen) / seen.shape[1] - mean**2, 1e-12))
-            row, col = np.divmod(np.flatnonzero(s > kth[:, None]), len(d))
-        else:
-            row, col = np.divmod(np.arange(s.size), len(d))
-        other = qn[start + row] != dn[col]
-        row, col = row[other], col[other]
-        row, col, true, best = _ranked(row, col, np.einsum("ij,ij->i", part[row], d[col]), k)
-        if math.isfinite(bar):
-            # The k-th similarity found, -2 where fewer than k were let through.
-            last = np.full(len(part), -2, dtype=np.float32)
-            found_kth = np.arange(len(row)) - np.searchsorted(row, row, "left") == k - 1
-            last[row[found_kth]] = true[found_kth]
-            # Nothing below the bar can be more similar than the bar and the error of its code. Rows
-            # that this doesn't settle, as those of a cluster that the bar lies above, are computed exactly.
-            open_ = np.flatnonzero(last < kth + error * np.linalg.norm(part, axis=1))
-            if len(open_):
-                full = part[open_] @ d.T
-                full[qn[start + open_][:, None] == dn] = -2
-                least, short = last[open_] - 1e-6, np.flatnonzero(last[open_] == -2)
-                if len(short):
-                    least[short] = -np.partition(-full[short], min(k, len(d)) - 1, axis=1)[:, min(k, len(d)) - 1]
-                more, near = np.divmod(np.flatnonzero((full >= least[:, None]) & (full > -2)), len(d))
-                rest = ~np.isin(row, open_)
-                row, col, true, best = _ranked(np.concatenate((row[rest], open_[more])), np.concatenate((col[rest], near)), np.concatenate((true[rest], full[more, near])), k)
-        for to, x in zip(found, (start + row[best], dn[col[best]], true[best]), strict=True):
+        part, bar = q[start : start + step], bars[start : start + step].copy()
+        hits = []
+        closed = np.flatnonzero(bar > -1)
+        if len(closed):
+            s = part[closed] @ decoded.T
+            over = s >= (bar[closed] - error * np.linalg.norm(part[closed], axis=1))[:, None]
+            # Queries for which much of the block is in doubt are cheaper compared with all of it.
+            many = np.count_nonzero(over, axis=1) > max(k, len(d) // 16)
+            over[many] = False
+            row, col = np.divmod(np.flatnonzero(over), len(d))
+            row = closed[row]
+            hits.append((row, col, np.einsum("ij,ij->i", part[row], d[col])))
+            closed = closed[~many]
+        open_ = np.setdiff1d(np.arange(len(part)), closed)
+        if len(open_):
+            s = part[open_] @ d.T
+            s[qn[start + open_][:, None] == dn] = -2
+            keep = min(k, len(d))
+            bar[open_] = np.maximum(bar[open_], np.partition(s, len(d) - keep, axis=1)[:, len(d) - keep])
+            row, col = np.divmod(np.flatnonzero((s >= bar[open_][:, None]) & (s > -2)), len(d))
+            hits.append((open_[row], col, s[row, col]))
+        row, col, true = (np.concatenate(x) for x in zip(*hits, strict=True))
+        good = (true >= bar[row]) & (qn[start + row] != dn[col])
+        for to, x in zip(found, _best(row[good] + start, dn[col[good]], true[good], k), strict=True):
             to.append(x)
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(found, (np.int64, np.int64, np.float32), strict=True))
 
@@ -266,21 +265,24 @@ def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECA
             near, codes = _lists(x, index)
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), _binary(x.astype(np.float16)), _binary(codes)], names=["list", "n", "vec", "code"])
 
-    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), np.float32, dim)
-            for start in range(0, len(x), 4096):
-                some = x[start : start + 4096]
-                to = _visits(some, index)
-                row = np.repeat(np.arange(len(some)), to.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), batch.column(0).slice(start, len(some)).take(pa.array(row)), _binary(some.astype(np.float16)[row])], names=["list", "n", "query"])
+    def visiting(stored: pa.Table) -> pa.Table:
+        """The visits of the vectors of a block, with their bars; a little below, so that rounding loses nothing."""
+        x = _matrix(stored.column("vec"), np.float16, dim)
+        bars = _bars(x.astype(np.float32), k) - np.float32(1e-5)
+        to = np.concatenate([_visits(x[i : i + 4096].astype(np.float32), index) for i in range(0, len(x), 4096)])
+        row = np.repeat(np.arange(len(x)), to.shape[1])
+        return pa.table({"list": pa.array(to.ravel(), pa.int32()), "n": stored.column("n").take(pa.array(row)), "query": _binary(x[row]), "bar": pa.array(bars[row], pa.float32())})
 
     rows = vectors.select("n", "vec")
     # One row per list.
     sizes = vectors.sparkSession.createDataFrame([(i, int(d), int(q), int(b)) for i, (d, q, b) in enumerate(zip(d_blocks, q_blocks, base[:-1], strict=True))], "list int, d int, q int, base int")
     placed = lambda df, own, all_: df.join(F.broadcast(sizes), "list").withColumn("own", F.pmod(F.xxhash64("n"), F.col(own)).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col(all_) - 1)))
-    left = placed(rows.mapInArrow(visiting, "list int, n long, query binary"), "q", "d").select((F.col("base") + F.col("each") * F.col("q") + F.col("own")).alias("block"), "n", "query")
-    right = placed(rows.mapInArrow(listed, "list int, n long, vec binary, code binary"), "d", "q").select((F.col("base") + F.col("own") * F.col("q") + F.col("each")).alias("block"), "list", "n", "vec", "code")
+    stored = rows.mapInArrow(listed, "list int, n long, vec binary, code binary")
+    # A vector's own list comes first, in parts of bounded size; what it finds there goes with it.
+    parts = stored.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("n"), F.col("d")).cast("int").alias("part"), "n", "vec")
+    visits = parts.groupBy("list", "part").applyInArrow(visiting, "list int, n long, query binary, bar float")
+    left = placed(visits, "q", "d").select((F.col("base") + F.col("each") * F.col("q") + F.col("own")).alias("block"), "n", "query", "bar")
+    right = placed(stored, "d", "q").select((F.col("base") + F.col("own") * F.col("q") + F.col("each")).alias("block"), "list", "n", "vec", "code")
     hits = pa.schema([("n", pa.int64()), ("others", pa.binary()), ("similar", pa.binary())])
 
     def packed(n: np.ndarray, other: np.ndarray, similar: np.ndarray) -> pa.RecordBatch:
@@ -300,7 +302,7 @@ def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECA
         q = _matrix(queries.column("query"), np.float16, dim).astype(np.float32)
         d, codes = _matrix(stored.column("vec"), np.float16, dim).astype(np.float32), _matrix(stored.column("code"), np.uint8, dim // SUB)
         qn = queries.column("n").to_numpy()
-        row, other, similar = _search(q, qn, d, stored.column("n").to_numpy(), codes, stored.column("list").to_numpy(), index, k)
+        row, other, similar = _search(q, qn, d, stored.column("n").to_numpy(), codes, stored.column("list").to_numpy(), index, k, queries.column("bar").to_numpy())
         return pa.Table.from_batches([packed(*_best(qn[row], other, similar, k))], hits)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
