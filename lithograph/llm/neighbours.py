@@ -90,11 +90,14 @@ def fit(sample: np.ndarray, count: int, k: int, target: float = TARGET_RECALL, s
     books = np.stack([_means(residual[:, m], codes, rng, rounds=5) for m in range(dim // SUB)])
     # The sample is thinner than the whole, so its nearest vectors are farther away: as many of
     # them are looked for as the k nearest of the whole would leave in the sample.
-    k = max(1, round(k * len(sample) / max(count, 1)))
+    k = min(len(sample), max(1, round(k * len(sample) / max(count, 1))))
     asked = rng.choice(len(sample), min(1000, len(sample)), replace=False)
-    similar = sample[asked] @ sample.T
-    similar[np.arange(len(asked)), asked] = -2
-    best = np.argsort(-similar, axis=1)[:, :k]
+    best = np.empty((len(asked), k), dtype=np.int64)
+    for i in range(0, len(asked), 64):
+        some = asked[i : i + 64]
+        similar = sample[some] @ sample.T
+        similar[np.arange(len(some)), some] = -2
+        best[i : i + 64] = np.argpartition(similar, len(sample) - k, axis=1)[:, len(sample) - k :]
     order = np.argsort(-(sample[asked] @ centroids.T), axis=1)
     place = np.take_along_axis(np.argsort(order, axis=1), near[best], axis=1)
     # As many lists as the target needs, and at least the four nearest, where close copies lie.
