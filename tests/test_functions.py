@@ -55,7 +55,7 @@ def test_owner_globs(spark, pattern, path, matches):
 
 
 def test_owner_rules(spark):
-    content = "# comment\n\n*.py @alice\nsrc/ @org/team mail@x.y\nnobody\nonly mail@x.y\n/src/a.py @bob @carol\n"
+    content = "# comment\n\n*.py @ada\nsrc/ @org/team mail@x.y\nnobody\nonly mail@x.y\n/src/a.py @ben @cleo\n"
     rules = paths.owner_rules(spark.createDataFrame([("r", content), ("s", None)], "repository_id string, content string"))
     asked = spark.createDataFrame([("r", "x.py"), ("r", "src/b.py"), ("r", "src/a.py"), ("r", "readme")], "repository_id string, path string")
     assert {r.path: r.owners for r in paths.owners_of(asked, rules).collect()} == {"x.py": ["ada"], "src/b.py": ["org/team"], "src/a.py": ["ben", "cleo"]}
