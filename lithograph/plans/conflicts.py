@@ -38,10 +38,13 @@ def semantic_questions(g: q.Graph, symbols: DataFrame, limit: int = CALLERS, sou
     change_kind, old_source, new_source, file_path. With ``sources``
     (repository_id, path, content), each caller comes with its text.
     """
-    noticed = changed_symbols(symbols).where(F.col("classification").isin(*VISIBLE))
+    # The names to look up and the questions both come from these rows: sources are compared once.
+    noticed = checkpointed(changed_symbols(symbols).where(F.col("classification").isin(*VISIBLE)))
     found = q.symbol_by_qualified_name(g, noticed.select("repository_id", F.col("qualified_name").alias("name")))
     rows = noticed.join(found.select("repository_id", F.col("name").alias("qualified_name"), "symbol_id"), ["repository_id", "qualified_name"])
     callers = q.callers_of(g, found.select("symbol_id")).select(F.col("callee_id").alias("symbol_id"), "caller_id", F.col("qualified_name").alias("caller_name"), F.col("path").alias("caller_path"), F.col("start_line").alias("caller_line"))
+    # A symbol's first callers are told before they meet its changes, so a hub is not repeated for each pull request.
+    callers = callers.withColumn("first", F.row_number().over(W.partitionBy("symbol_id").orderBy("caller_name", "caller_id"))).where(F.col("first") <= limit).drop("first")
     asked = rows.join(callers, "symbol_id").withColumn("place", F.row_number().over(W.partitionBy("pull_request_id", "ordinal").orderBy("caller_name", "caller_id")))
     asked = asked.where(F.col("place") <= limit)
     shown = ["pull_request_id", "ordinal", "qualified_name", "file_path", "classification", "change", "caller_id", "caller_name", "caller_path", "caller_line", "place"]

@@ -108,6 +108,15 @@ def test_conflicts_and_payload(spark):
     assert empty == {"summary": "three checks ran and found nothing to flag.", "conflicts": []}
 
 
+def test_callers_of_a_hub_are_cut_before_they_meet_its_changes(spark):
+    g = graph(spark, symbols=[dict(id=f"h{i:02}", repository_id=R, file_id="A", qualified_name=f"hub{i:02}", kind="function", start_line=40 + i) for i in range(15)], symbol_calls=[dict(id=f"h{i}", caller_id=f"h{i:02}", callee_id="pac", line=i) for i in range(15)])
+    symbols = spark.createDataFrame([(p, 1, R, "pack_crate", "deleted", None, None, "src/depot/crates.py") for p in ("p42", "p43")], "pull_request_id string, ordinal int, repository_id string, qualified_name string, change_kind string, old_source string, new_source string, file_path string")
+    asked = conflicts.semantic_questions(g, symbols)
+    assert sorted((r.pull_request_id, r.place, r.caller_name) for r in asked.collect()) == [(p, n + 1, f"hub{n:02}") for p in ("p42", "p43") for n in range(10)]
+    # The rows that meet the changes are ten at most for a symbol, not all its callers.
+    assert "windowspecdefinition(symbol_id" in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_coordinator_isolates_failures():
     def fail():
         raise ValueError("x")
