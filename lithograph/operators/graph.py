@@ -7,13 +7,18 @@ for counts, which are 0 for every key asked for. Null keys match nothing.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import defaultdict
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithograph.functions.vector import top_similar
+from lithograph.operators import blocks
+from lithograph.tables import checkpointed
 
 Graph = Mapping[str, DataFrame]
 APPROVED = "APPROVED"
@@ -148,23 +153,52 @@ def call_graph_overlap_counts(g: Graph, file_sets: DataFrame, since: Column) ->
 
     Neighbours are callees and callers of the files' symbols; symbols of the
     files themselves are neighbours too if they call each other. Neighbours are
-    found once per file, and those that the same people changed are counted
-    together before people come in, so a hub costs a row per set and not one
-    per set and person.
+    found once per file, and sets meet them in blocks (``blocks``), where those
+    that the same people changed are counted together: neither neighbours nor
+    people are ever repeated for each set.
     """
-    sets = file_sets.select("set_id", "file_id").distinct()
-    commits = g["commits"].where((F.col("committed_at") >= since) & F.col("author_id").isNotNull()).select(F.col("id").alias("commit_id"), F.col("author_id").alias("person_id"))
+    sets = file_sets.select("set_id", "file_id").where(F.col("set_id").isNotNull()).distinct()
+    kind = sets.schema["set_id"].dataType.simpleString()
+    sets = checkpointed(sets.select(F.col("set_id").cast("string"), "file_id"))
+    count, block = blocks.blocks_of(sets, "set_id")
+    placed = sets.select(block, "set_id", "file_id")
+    near, touched = neighbours_changed(g, sets, since)
+    people = checkpointed(_recent(g, since).select("person_id").distinct().withColumn("person", F.monotonically_increasing_id()))
+    parts = [
+        blocks.part(placed, blocks.FILE, name=F.col("set_id"), file_id=F.col("file_id")),
+        blocks.part(blocks.to_all(people, count), blocks.PERSON, key=F.col("person"), name=F.col("person_id").cast("string")),
+        *blocks.overlap_parts(near, touched.join(people, "person_id").select("symbol_id", "person"), placed.select("block", "file_id").distinct(), count),
+    ]
+
+    def answer(rows: blocks.Rows) -> Iterator[pa.RecordBatch]:
+        persons = rows[blocks.PERSON].sort_by("key")
+        names = persons.column("name").combine_chunks()
+        overlap, files = blocks.Overlap(rows, persons.column("key").to_numpy()), defaultdict(list)
+        for one, file in zip(rows[blocks.FILE].column("name").to_pylist(), rows[blocks.FILE].column("file_id").to_pylist(), strict=True):
+            files[one].append(file)
+        for one, of in files.items():
+            n = overlap.of(of)
+            there = np.flatnonzero(n)
+            if len(there):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(one, pa.string()), len(there)), names.take(pa.array(there)), pa.array(n[there])], names=["set_id", "person_id", "n"])
+
+    found = blocks.answered(parts, count, answer, "set_id string, person_id string, n long")
+    return found.select(F.col("set_id").cast(kind), F.col("person_id").cast(touched.schema["person_id"].dataType), "n")
+
+
+def _recent(g: Graph, since: Column) -> DataFrame:
+    """commit_id, person_id of the commits since then."""
+    return g["commits"].where((F.col("committed_at") >= since) & F.col("author_id").isNotNull()).select(F.col("id").alias("commit_id"), F.col("author_id").alias("person_id"))
+
+
+def neighbours_changed(g: Graph, sets: DataFrame, since: Column) -> tuple[DataFrame, DataFrame]:
+    """file_id, symbol_id of the neighbours of each file of ``sets``, and symbol_id, person_id of who changed a symbol since then."""
+    commits = _recent(g, since)
     changed = g["commit_modifies_symbol"].select("commit_id", "symbol_id").join(commits, "commit_id").select("symbol_id", "person_id").distinct()
-    # A set of people is known by its size and 128 bits of hashes, so none is ever gathered in one row.
-    people = F.struct(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(salt), "person_id")).alias(salt) for salt in ("a", "b")])
-    crowds = changed.groupBy("symbol_id").agg(people.alias("crowd"))
-    members = changed.join(crowds.groupBy("crowd").agg(F.min("symbol_id").alias("symbol_id")), "symbol_id").select("crowd", "person_id")
     edges = g["symbol_calls"].select("caller_id", "callee_id").distinct()
     both = edges.select(F.col("caller_id").alias("id"), F.col("callee_id").alias("symbol_id")).unionByName(edges.select(F.col("callee_id").alias("id"), F.col("caller_id").alias("symbol_id")))
     own = _among(g["symbols"].select("id", "file_id").distinct(), sets.select("file_id"), "file_id")
-    near = both.join(own, "id").select("file_id", "symbol_id").distinct().join(crowds, "symbol_id")
-    counts = sets.join(near, "file_id").select("set_id", "crowd", "symbol_id").distinct().groupBy("set_id", "crowd").agg(F.count("*").alias("n"))
-    return counts.join(members, "crowd").groupBy("set_id", "person_id").agg(F.sum("n").alias("n"))
+    return both.join(own, "id").select("file_id", "symbol_id").distinct(), changed
 
 
 def codeowners_for(g: Graph, paths: DataFrame | None = None) -> DataFrame:

@@ -65,6 +65,26 @@ def test_overlap_counts_neighbours(spark):
     assert q.call_graph_overlap_counts(g, sets, ts("2026-02-04 00:00:00")).count() == 0
 
 
+def test_overlap_of_many_sets_does_not_shuffle_their_people(spark, monkeypatch):
+    monkeypatch.setattr("lithograph.operators.blocks.BLOCK_SETS", 2)
+    people, symbols = [f"u{i}" for i in range(7)], [f"y{i}" for i in range(9)]
+    calls = {(f"y{i}", f"y{i * j % 9}") for i in range(9) for j in range(1, 4)}
+    changes = {(p, f"y{(n + k) % 9}") for n, p in enumerate(people) for k in range(n)}
+    wanted = {f"s{n}": {f"F{i}" for i in range(3) if n >> i & 1} for n in range(8)}
+    g = graph(
+        spark, files=[dict(id=f"F{i}", repository_id=R, path=f"F{i}.py", content_hash="h") for i in range(3)], symbols=[dict(id=y, repository_id=R, file_id=f"F{i % 3}", qualified_name=y, kind="class", start_line=i) for i, y in enumerate(symbols)],
+        symbol_calls=[dict(id=f"{a}{b}", caller_id=a, callee_id=b, line=1) for a, b in calls], commits=[dict(id=f"c{p}", repository_id=R, sha=p, author_id=p, message="", committed_at=datetime(2026, 3, 1)) for p in people], commit_modifies_symbol=[dict(commit_id=f"c{p}", symbol_id=y, change_kind="body_only") for p, y in changes],
+    )
+    expected = {}
+    for one, files in wanted.items():
+        own = {y for i, y in enumerate(symbols) if f"F{i % 3}" in files}
+        near = {b for a, b in calls if a in own} | {a for a, b in calls if b in own}
+        expected |= {(one, p): n for p in people if (n := sum((p, y) in changes for y in near))}
+    found = q.call_graph_overlap_counts(g, spark.createDataFrame([(s, f) for s, fs in wanted.items() for f in fs], "set_id string, file_id string"), ts("2026-02-15 00:00:00"))
+    assert {(r.set_id, r.person_id): r.n for r in found.collect()} == expected and len(expected) > 20
+    assert "hashpartitioning(set_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookups(spark):
     g = graph(spark, symbols=[dict(id="x1", repository_id=R, file_id="A", qualified_name="Invoice.total"), dict(id="x2", repository_id=R, file_id="A", qualified_name="Order.total"), dict(id="x3", repository_id=R, file_id="A", qualified_name="Order.getXit")], issues=[dict(id="i", repository_id=R, number=7, title="t", state="open")])
     names = spark.createDataFrame([(R, n) for n in ("pack_crate", "total", "getXit", "get_it", None)], "repository_id string, name string")
