@@ -82,6 +82,34 @@ def test_reviewers(spark):
     assert reviewers.candidates(g, prs, files, now()).count() == 2
 
 
+def test_pools_of_many_pull_requests_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("lithograph.operators.blocks.BLOCK_SETS", 2)
+    # Two rows of persons share a login; the team is also known by a person's name; one owner is a bot.
+    people = [("u0", "ann"), ("u1", "ann"), ("u2", "some-bot"), ("u3", "dan"), ("u4", "eve"), ("u5", "acme/depot-team")]
+    commits = [dict(id=f"k{i}{j}", repository_id=R, sha=f"k{i}{j}", author_id=f"u{i}", message="", committed_at=datetime(2026, 3 if i != 3 else 1, 1)) for i in range(6) for j in range(3)]
+    g = graph(
+        spark, persons=[dict(id=i, github_login=n) for i, n in people], commits=commits, commit_modifies_file=[dict(id=f"t{c['id']}", commit_id=c["id"], file_id="AB"[n % 2]) for n, c in enumerate(commits) if n % 5],
+        commit_modifies_symbol=[dict(commit_id=c["id"], symbol_id=["pac", "sta", "shi"][n % 3], change_kind="body_only") for n, c in enumerate(commits)], reviews=[dict(id=f"w{i}", pull_request_id="p42", reviewer_id=f"u{i}", state="approved", submitted_at=datetime(2026, 3, 2)) for i in range(1, 5)],
+    )
+    ids = [f"p{n}" for n in range(9)]
+    prs = spark.createDataFrame([(p, [None, "ann", "dan"][n % 3]) for n, p in enumerate(ids)], "id string, author_login string")
+    paths = ["src/depot/crates.py", "src/desk/orders.py", "new.py"]
+    files = changed(spark, *[(p, k, R, path, None) for n, p in enumerate(ids) for k, path in enumerate(paths) if n >> k & 1])
+    rules = owner_rules(spark.createDataFrame([(R, "*.py @zoe @dan @x[bot]\nsrc/depot/** @acme/depot-team @ann @acme/other\n")], "repository_id string, content string"))
+    pool = reviewers.candidates(g, prs, files, now(), rules)
+    # People and owners of a pull request are not gathered by an aggregation.
+    assert "min(person_id" not in pool._jdf.queryExecution().executedPlan().toString()
+    signals = reviewers.signals(g, pool, files, now(), rules)
+    found = reviewers.weighed(g, prs, files, now(), rules)
+    single, found = signals.withColumn("s", F.bround(reviewers.score(), 4)).collect(), found.collect()
+    shown = [c for c in found[0].__fields__]
+    assert sorted((tuple(r) for r in found), key=str) == sorted((tuple(r[c] for c in shown) for r in single), key=str) and len(found) > 20
+    assert {(r.login, r.person_id, r.is_team) for r in found if r.pull_request_id == "p3"} >= {("acme/depot-team", "u5", True), ("acme/other", None, True), ("ann", "u0", False), ("eve", "u4", False)}
+    first = {p: [r.login for r in sorted((r for r in single if r.pull_request_id == p and r.s > 0), key=lambda r: (-r.s, r.login))[:3]] for p in ids}
+    ranked = reviewers.ranked(g, prs, files, now(), rules).collect()
+    assert {p: [r.login for r in sorted((r for r in ranked if r.pull_request_id == p), key=lambda r: r["rank"])] for p in ids} == first
+
+
 def test_overloaded_reviewers_fall_behind(spark):
     shape = "is_codeowner boolean, authorship_share double, recent_review_count int, call_graph_overlap int, review_acceptance_rate double, open_pr_load int"
     rows = spark.createDataFrame([(False, 0.5, 0, 0, 0.0, 12), (False, 0.5, 0, 0, 0.0, 1), (True, 1.0, 3, 1, 0.7, 9)], shape)
