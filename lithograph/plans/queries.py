@@ -14,7 +14,7 @@ from lithograph.operators import graph as q
 from lithograph.plans import conflicts, context, reviewers
 from lithograph.sources.tree import caller_snippets, owner_file
 from lithograph.sources.views import graph, with_views
-from lithograph.tables import checkpointed, once
+from lithograph.tables import once
 
 NOW = "2024-12-31 00:00:00"
 CHURN = 5
@@ -50,9 +50,7 @@ def rules(g: q.Graph) -> DataFrame:
 
 
 def _signals(g: q.Graph) -> DataFrame:
-    changed = checkpointed(changed_files(g))
-    seen = reviewers.evidence(g, changed, now(), kept=True)
-    rows = reviewers.signals(g, reviewers.candidates(g, with_login(g), changed, now(), rules(g), seen), changed, now(), rules(g), seen)
+    rows = reviewers.weighed(g, with_login(g), changed_files(g), now(), rules(g))
     return rows.select("pull_request_id", "login", "person_id", "is_team", "is_codeowner", F.round("authorship_share", 9).alias("authorship_share"), "recent_review_count", "call_graph_overlap", F.round("review_acceptance_rate", 9).alias("review_acceptance_rate"), "open_pr_load", "total_reviews")
 
 
