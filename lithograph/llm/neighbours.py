@@ -13,6 +13,11 @@
    whether better ones were missed, the query is compared with the whole block.
 4. A task keeps the best of each query over its blocks, and the tasks' are merged.
 
+Where only pairs of a least similarity are asked for (``close``), a list and its
+visitors are compared whole, without codes, and each pair counts for both of its
+vectors. A query then visits the lists whose centroids are nearly as similar to
+it as the nearest one; how nearly, pairs of exactly the least similarity tell.
+
 Vectors travel in half precision, which changes a similarity by less than
 ``HALF``; where that matters, ``exact`` computes it from the full vectors.
 """
@@ -38,6 +43,8 @@ MOST_LISTS = 1 << 16
 SUB = 2
 #: Recall that the number of visited lists is chosen for, measured within the sample.
 TARGET_RECALL = 0.94
+#: Share of the pairs of exactly the least similarity that ``close`` must reach; of more similar ones it reaches more.
+AT_LEAST_RECALL = 0.99
 #: Vectors and queries of a block at most, about.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_000, 40_000
 #: What half precision changes a similarity by at most: two roundings of 2^-11 each, and that of the sum.
@@ -63,11 +70,22 @@ def lists_of(count: int) -> int:
     return int(min(max(16, math.isqrt(max(count, 1)) // 3), MOST_LISTS))
 
 
+def close_lists_of(count: int) -> int:
+    """The number of lists for ``close``: its queries visit few, so they are smaller."""
+    return int(min(max(16, math.isqrt(max(count, 1))), MOST_LISTS))
+
+
+def _rows(width: int) -> int:
+    """How many rows of a matrix of that width are taken at once, so that it has 32 MB at most, about."""
+    return max(64, min(8192, (1 << 23) // max(1, width)))
+
+
 def _means(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, unit: bool = False) -> np.ndarray:
     centres = points[rng.choice(len(points), k, replace=False)].copy()
+    step = _rows(k)
     for _ in range(rounds):
         half = (centres**2).sum(axis=1) / 2
-        near = np.concatenate([(points[i : i + 8192] @ centres.T - half).argmax(axis=1) for i in range(0, len(points), 8192)])
+        near = np.concatenate([(points[i : i + step] @ centres.T - half).argmax(axis=1) for i in range(0, len(points), step)])
         count = np.bincount(near, minlength=k)
         total = np.stack([np.bincount(near, weights=points[:, d], minlength=k) for d in range(points.shape[1])], axis=1)
         full = count > 0
@@ -236,6 +254,55 @@ def _search(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, codes:
 
 #: Hits that a task holds before it keeps the best of each query.
 _HELD = 2_000_000
+_HITS = pa.schema([("n", pa.int64()), ("others", pa.binary()), ("similar", pa.binary())])
+
+
+def _sample(vectors: DataFrame, count: int, lists: int, dim: int) -> np.ndarray:
+    """The vectors that lists are fitted on, chosen by their keys."""
+    buckets, wanted = 1 << 24, max(SAMPLE, PER_LIST * lists)
+    sampled = vectors.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) < math.ceil(buckets * min(1.0, wanted / count))).select("vec").toArrow()
+    sample = _matrix(sampled.column(0), np.float32, dim)
+    if not len(sample):
+        sample = _matrix(vectors.select("vec").limit(1000).toArrow().column(0), np.float32, dim)
+    # The order in which rows arrive differs from run to run; the index must not.
+    return sample[np.lexsort(sample.T[:4])]
+
+
+def _packed(n: np.ndarray, other: np.ndarray, similar: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(np.diff(n, prepend=n[0] - 1)) if len(n) else np.empty(0, np.int64)
+    cut = np.append(at, len(n))
+    parts = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (other.astype(np.int64), similar.astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array(n[at], pa.int64()), *parts], schema=_HITS)
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(dtype), (at - at[0]) // np.dtype(dtype).itemsize
+
+
+def _merged(k: int, best: Callable = _best) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the best of each query over the batches of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            other, at = _flat(batch.column(1), np.int64)
+            kept.append((np.repeat(batch.column(0).to_numpy(), np.diff(at)), other, _flat(batch.column(2), np.float32)[0]))
+            size += len(other)
+            if size > _HELD:
+                kept = [best(*map(np.concatenate, zip(*kept, strict=True)), k)]
+                if len(kept[0][0]) > _HELD // 2:
+                    yield _packed(*kept[0])
+                    kept = []
+                size = sum(len(x[0]) for x in kept)
+        if kept:
+            yield _packed(*best(*map(np.concatenate, zip(*kept, strict=True)), k))
+
+    return run
 
 
 def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECALL) -> DataFrame:
@@ -251,13 +318,7 @@ def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECA
     shape = "n long, other long, similarity float, rank int, last float, before float"
     if not count:
         return vectors.sparkSession.createDataFrame([], shape)
-    buckets, wanted = 1 << 24, max(SAMPLE, PER_LIST * lists_of(count))
-    sampled = vectors.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) < math.ceil(buckets * min(1.0, wanted / count))).select("vec").toArrow()
-    sample = _matrix(sampled.column(0), np.float32, dim)
-    if not len(sample):
-        sample = _matrix(vectors.select("vec").limit(1000).toArrow().column(0), np.float32, dim)
-    # The order in which rows arrive differs from run to run; the index must not.
-    index = fit(sample[np.lexsort(sample.T[:4])], count, k, target)
+    index = fit(_sample(vectors, count, lists_of(count), dim), count, k, target)
     d_blocks = [max(1, math.ceil(x * count / BLOCK_VECTORS)) for x in index.stored.tolist()]
     q_blocks = [max(1, math.ceil(x * count / BLOCK_QUERIES)) for x in index.visited.tolist()]
     base = np.concatenate(([0], np.cumsum(np.multiply(d_blocks, q_blocks)))).tolist()
@@ -286,59 +347,28 @@ def neighbours(vectors: DataFrame, k: int, dim: int, target: float = TARGET_RECA
     visits = parts.groupBy("list", "part").applyInArrow(visiting, "list int, n long, query binary, bar float")
     left = placed(visits, "q", "d").select((F.col("base") + F.col("each") * F.col("q") + F.col("own")).alias("block"), "n", "query", "bar")
     right = placed(stored, "d", "q").select((F.col("base") + F.col("own") * F.col("q") + F.col("each")).alias("block"), "list", "n", "vec", "code")
-    hits = pa.schema([("n", pa.int64()), ("others", pa.binary()), ("similar", pa.binary())])
-
-    def packed(n: np.ndarray, other: np.ndarray, similar: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(np.diff(n, prepend=n[0] - 1)) if len(n) else np.empty(0, np.int64)
-        cut = np.append(at, len(n))
-        parts = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (other.astype(np.int64), similar.astype(np.float32))]
-        return pa.RecordBatch.from_arrays([pa.array(n[at], pa.int64()), *parts], schema=hits)
-
-    def flat(column: pa.ChunkedArray | pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)
-        return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(dtype), (at - at[0]) // np.dtype(dtype).itemsize
-
     def block(queries: pa.Table, stored: pa.Table) -> pa.Table:
         if not queries.num_rows or not stored.num_rows:
-            return hits.empty_table()
+            return _HITS.empty_table()
         q = _matrix(queries.column("query"), np.float16, dim).astype(np.float32)
         d, codes = _matrix(stored.column("vec"), np.float16, dim).astype(np.float32), _matrix(stored.column("code"), np.uint8, dim // SUB)
         qn = queries.column("n").to_numpy()
         row, other, similar = _search(q, qn, d, stored.column("n").to_numpy(), codes, stored.column("list").to_numpy(), index, k, queries.column("bar").to_numpy())
-        return pa.Table.from_batches([packed(*_best(qn[row], other, similar, k))], hits)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            other, at = flat(batch.column(1), np.int64)
-            kept.append((np.repeat(batch.column(0).to_numpy(), np.diff(at)), other, flat(batch.column(2), np.float32)[0]))
-            size += len(other)
-            if size > _HELD:
-                kept = [_best(*map(np.concatenate, zip(*kept, strict=True)), k)]
-                if len(kept[0][0]) > _HELD // 2:
-                    yield packed(*kept[0])
-                    kept = []
-                size = sum(len(x[0]) for x in kept)
-        if kept:
-            yield packed(*_best(*map(np.concatenate, zip(*kept, strict=True)), k))
+        return pa.Table.from_batches([_packed(*_best(qn[row], other, similar, k))], _HITS)
 
     packed_shape = "n long, others binary, similar binary"
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block, packed_shape).mapInArrow(merged, packed_shape)
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block, packed_shape).mapInArrow(_merged(k), packed_shape)
     # All hits of a query meet in one partition, where the same merge settles them.
-    return found.repartition("n").mapInArrow(_settled(k, hits, flat), shape)
+    return found.repartition("n").mapInArrow(_settled(k), shape)
 
 
-def _settled(k: int, hits: pa.Schema, flat: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settled(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b for b in batches if b.num_rows], hits)
+        table = pa.Table.from_batches([b for b in batches if b.num_rows], _HITS)
         if not table.num_rows:
             return
-        other, at = flat(table.column(1), np.int64)
-        n, other, similar = _best(np.repeat(table.column(0).combine_chunks().to_numpy(), np.diff(at)), other, flat(table.column(2), np.float32)[0], k)
+        other, at = _flat(table.column(1), np.int64)
+        n, other, similar = _best(np.repeat(table.column(0).combine_chunks().to_numpy(), np.diff(at)), other, _flat(table.column(2), np.float32)[0], k)
         place = np.arange(len(n)) - np.searchsorted(n, n, "left")
         # Similarity at the last place asked for and at the one before, -2 where there are fewer.
         ends = []
@@ -354,6 +384,180 @@ def _settled(k: int, hits: pa.Schema, flat: Callable) -> Callable[[Iterator[pa.R
     return run
 
 
+def _margin(sample: np.ndarray, centroids: np.ndarray, least: float, target: float = AT_LEAST_RECALL, seed: int = 7) -> float:
+    """How much less similar than the nearest centroid those of the lists may be that a query visits.
+
+    A pair is found if either of its vectors visits the list of the other.
+    Pairs of exactly the least similarity are made of a vector of the sample
+    and the direction from it to another one; ``target`` of them are found.
+    Where the sample has enough real pairs and those need much less, as where
+    all vectors are alike, the margin follows them.
+    """
+    rng = np.random.default_rng(seed)
+
+    def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s, t = a @ centroids.T, b @ centroids.T
+        i = np.arange(len(a))
+        return np.minimum(s.max(axis=1) - s[i, t.argmax(axis=1)], t.max(axis=1) - t[i, s.argmax(axis=1)])
+
+    one, two = (sample[rng.choice(len(sample), min(10_000, len(sample)), replace=False)] for _ in range(2))
+    away = two - np.einsum("ij,ij->i", one, two)[:, None] * one
+    length = np.linalg.norm(away, axis=1)
+    one, away = one[length > 1e-3], (away / np.maximum(length, 1e-3)[:, None])[length > 1e-3]
+    made, real = [np.zeros(1)], []
+    step = _rows(len(centroids))
+    for i in range(0, len(one), step):
+        made.append(needed(one[i : i + step], least * one[i : i + step] + math.sqrt(1 - least**2) * away[i : i + step]))
+    asked = rng.choice(len(sample), min(5_000, len(sample)), replace=False)
+    for i in range(0, len(asked), 64):
+        some = asked[i : i + 64]
+        s = sample[some] @ sample.T
+        s[np.arange(len(some)), some] = -2
+        near = s.argmax(axis=1)
+        good = s[np.arange(len(some)), near] >= least
+        real.append(needed(sample[some[good]], sample[near[good]]))
+    known = np.concatenate(real)
+    margin = float(np.quantile(np.concatenate(made), target))
+    return min(margin, 1.5 * float(known.max())) if len(known) >= 1000 else margin
+
+
+def _best_once(row: np.ndarray, other: np.ndarray, true: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_best`` of pairs that may come twice."""
+    order = np.lexsort((-true, other, row))
+    row, other, true = row[order], other[order], true[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+    return _best(row[new], other[new], true[new], k)
+
+
+def _within(q: np.ndarray, qn: np.ndarray, d: np.ndarray, dn: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar others of at least ``least`` of each vector on either side of a block."""
+    found: list[tuple[np.ndarray, ...]] = []
+    size, turned = 0, [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
+    bars = np.full(len(d), least, dtype=np.float32)
+    back: list[tuple[np.ndarray, ...]] = []
+    step = max(1, _CELLS // max(1, len(d)))
+    cells = np.empty((min(step, len(q)), len(d)), dtype=np.float32)
+    for start in range(0, len(q), step):
+        part = q[start : start + step]
+        s = np.matmul(part, d.T, out=cells[: len(part)])
+        some = np.flatnonzero(s.max(axis=1) >= np.float32(least))
+        row, col = np.divmod(np.flatnonzero(s[some] >= np.float32(least)), len(d))
+        row = some[row]
+        own = qn[start + row] == dn[col]
+        s[row[own], col[own]] = -2
+        row, col = row[~own], col[~own]
+        there, here = (row, col), (row, col)
+        if len(row) > k * sum(s.shape):
+            # Much of the block is close: only the best of each row and column go on.
+            rows = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -2, np.float32)
+            there = np.nonzero(s >= np.maximum(rows, np.float32(least))[:, None])
+            if len(s) > k:
+                bars = np.maximum(bars, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+            here = np.nonzero(s >= bars)
+        if len(there[0]):
+            r, o, t = _best(there[0] + start, dn[there[1]], s[there], k)
+            found.append((qn[r], o, t))
+        if len(here[0]):
+            back.append((here[1], qn[start + here[0]], s[here]))
+            size += len(here[0])
+        if size > _HELD:
+            turned = _best(*map(np.concatenate, zip(turned, *back, strict=True)), k)
+            back, size = [], 0
+    if back:
+        turned = _best(*map(np.concatenate, zip(turned, *back, strict=True)), k)
+    return _best_once(*map(np.concatenate, zip((dn[turned[0]], *turned[1:]), *found, strict=True)), k)
+
+
+def close(vectors: DataFrame, k: int, dim: int, least: float) -> DataFrame:
+    """n, other, similarity, and how sure it is: the pairs of at least ``least`` whose ``other`` is among the k most similar of n.
+
+    ``vectors`` is as for ``neighbours``. ``open`` rows are to be decided by
+    the full vectors: they may be less similar than ``least``, and those that
+    compete (``competes``) belong to the k most similar only if they are the
+    ``free`` most similar of the competing ones of n. Others are sure.
+    """
+    count = vectors.count()
+    shape = "n long, other long, similarity float, open boolean, competes boolean, free int"
+    if not count:
+        return vectors.sparkSession.createDataFrame([], shape)
+    most = close_lists_of(count)
+    sample = _sample(vectors, count, most, dim)
+    centroids = _means(sample, min(most, max(1, len(sample) // 8)), np.random.default_rng(7), unit=True)
+    margin = np.float32(_margin(sample, centroids, least))
+    bar = least - HALF
+    kept = 2 * k
+    stored, visited = np.zeros(len(centroids)), np.zeros(len(centroids))
+    step = _rows(len(centroids))
+    for i in range(0, len(sample), step):
+        s = sample[i : i + step] @ centroids.T
+        stored += np.bincount(s.argmax(axis=1), minlength=len(centroids))
+        visited += np.count_nonzero(s >= s.max(axis=1, keepdims=True) - margin, axis=0)
+    d_blocks, q_blocks = (np.maximum(1, np.ceil(x / len(sample) * count / size)).astype(np.int64) for x, size in ((stored, BLOCK_VECTORS), (visited, BLOCK_QUERIES)))
+    base = np.concatenate(([0], np.cumsum(d_blocks * q_blocks)))[:-1]
+
+    def part(n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """A part for each row number, evenly."""
+        return ((n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+    def spread(n: np.ndarray, lists: np.ndarray, own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows for each part of the other side of a list: which row, its own part, the other's."""
+        times = others[lists]
+        row = np.repeat(np.arange(len(n)), times)
+        return row, part(n, own[lists])[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+
+    def sent(n: np.ndarray, x: np.ndarray, block: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = x.astype(np.float16)
+        for i in range(0, len(row), 20_000):
+            some = row[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 20_000]), pa.array(n[some]), _binary(x[some])], names=["block", "n", "vec"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _matrix(batch.column(1), np.float32, dim), batch.column(0).to_numpy()
+            near = np.concatenate([(x[i : i + step] @ centroids.T).argmax(axis=1) for i in range(0, len(x), step)] or [np.empty(0, np.int64)])
+            row, own, each = spread(n, near, d_blocks, q_blocks)
+            yield from sent(n, x, base[near[row]] + own * q_blocks[near[row]] + each, row)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, numbers = _matrix(batch.column(1), np.float32, dim), batch.column(0).to_numpy()
+            for i in range(0, len(whole), step):
+                x, n = whole[i : i + step], numbers[i : i + step]
+                s = x @ centroids.T
+                who, to = np.nonzero(s >= s.max(axis=1, keepdims=True) - margin)
+                row, own, each = spread(n[who], to, q_blocks, d_blocks)
+                yield from sent(n, x, base[to[row]] + each * q_blocks[to[row]] + own, who[row])
+
+    def block(queries: pa.Table, stored: pa.Table) -> pa.Table:
+        if not queries.num_rows or not stored.num_rows:
+            return _HITS.empty_table()
+        q, d = (_matrix(t.column("vec"), np.float16, dim).astype(np.float32) for t in (queries, stored))
+        return pa.Table.from_batches([_packed(*_within(q, queries.column("n").to_numpy(), d, stored.column("n").to_numpy(), kept, bar))], _HITS)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows], _HITS)
+        if not table.num_rows:
+            return
+        other, at = _flat(table.column(1), np.int64)
+        n, other, similar = _best_once(np.repeat(table.column(0).to_numpy(), np.diff(at)), other, _flat(table.column(2), np.float32)[0], kept)
+        first = np.searchsorted(n, n, "left")
+        there = np.searchsorted(n, n, "right") - first
+        # Similarities at the last place that counts and at the next, -2 where there are fewer.
+        last, after = (np.where(there > p, similar[np.minimum(first + p, len(n) - 1)], np.float32(-2)) for p in (k - 1, k))
+        inside = (np.arange(len(n)) - first < k) & (similar - after > 2 * HALF)
+        free = k - np.bincount(first, weights=inside, minlength=len(n))[first].astype(np.int32)
+        may = last - similar <= 2 * HALF
+        columns = (n, other, similar, ~inside | (similar <= least + HALF), ~inside, free.astype(np.int32))
+        for i in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000][may[i : i + 100_000]]) for c in columns], names=["n", "other", "similarity", "open", "competes", "free"])
+
+    rows, packed_shape = vectors.select("n", "vec"), "n long, others binary, similar binary"
+    left, right = (rows.mapInArrow(f, "block long, n long, vec binary").groupBy("block") for f in (asking, listed))
+    found = left.cogroup(right).applyInArrow(block, packed_shape).mapInArrow(_merged(kept, _best_once), packed_shape)
+    return found.repartition("n").mapInArrow(settled, shape)
+
+
 def exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """``pairs`` of n and other with their keys, key and other_key, and the similarity of the full vectors. Other columns are kept."""
     one = vectors.select("n", "key", "vec")

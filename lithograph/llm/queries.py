@@ -63,22 +63,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identities.pairs(identities.linked(load(spark, sf_dir, "persons")))
 
 
-def _near(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    vectors = checkpointed(neighbours.usable(load(spark, sf_dir, table), key, vector, DIM))
-    return vectors, neighbours.neighbours(vectors, NEIGHBOURS + 1, DIM)
+def _vectors(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> DataFrame:
+    return checkpointed(neighbours.usable(load(spark, sf_dir, table), key, vector, DIM))
 
 
 def _close(spark: SparkSession, sf_dir: str, table: str, key: str, vector: str) -> DataFrame:
     """id_a, id_b of the pairs of one table; what half precision leaves open is decided by the full vectors."""
-    vectors, near = _near(spark, sf_dir, table, key, vector)
-    half = neighbours.HALF
-    near = checkpointed(near.where(F.col("similarity") >= SIMILAR - half).withColumn("tight", (F.col("before") - F.col("last") < 2 * half) & (F.col("last") >= SIMILAR - half)))
-    first = F.col("rank") <= NEIGHBOURS
-    open_ = F.col("tight") | (first & (F.col("similarity") <= SIMILAR + half))
-    seen = neighbours.exact(near.where(open_).select("n", "other", "tight"), vectors, DIM)
-    place = F.row_number().over(W.partitionBy("n").orderBy(F.desc("similarity"), "other"))
-    decided = seen.withColumn("place", place).where((F.col("similarity") >= SIMILAR) & (~F.col("tight") | (F.col("place") <= NEIGHBOURS)))
-    pairs = near.where(first & ~open_).select("n", "other").unionByName(decided.select("n", "other")).select(F.least("n", "other").alias("n"), F.greatest("n", "other").alias("other")).distinct()
+    vectors = _vectors(spark, sf_dir, table, key, vector)
+    near = checkpointed(neighbours.close(vectors, NEIGHBOURS, DIM, SIMILAR))
+    seen = neighbours.exact(near.where("open").select("n", "other", "competes", "free"), vectors, DIM)
+    place = F.row_number().over(W.partitionBy("n", "competes").orderBy(F.desc("similarity"), "other_key"))
+    decided = seen.withColumn("place", place).where((F.col("similarity") >= SIMILAR) & (~F.col("competes") | (F.col("place") <= F.col("free"))))
+    pairs = near.where(~F.col("open")).select("n", "other").unionByName(decided.select("n", "other")).select(F.least("n", "other").alias("n"), F.greatest("n", "other").alias("other")).distinct()
     keys = vectors.select("n", F.col("key").alias("a"))
     named = pairs.join(keys, "n").join(keys.select(F.col("n").alias("other"), F.col("a").alias("b")), "other")
     return named.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
@@ -94,7 +90,8 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, id, other_id, similarity of the five most similar vectors of every vector; similarities are those of the full vectors."""
     found = None
     for table, key, vector in VECTORS:
-        vectors, near = _near(spark, sf_dir, table, key, vector)
+        vectors = _vectors(spark, sf_dir, table, key, vector)
+        near = neighbours.neighbours(vectors, NEIGHBOURS + 1, DIM)
         rows = neighbours.exact(near.where(F.col("rank") <= NEIGHBOURS).select("n", "other"), vectors, DIM)
         rows = rows.select(F.lit(table).alias("table_name"), F.col("key").alias("id"), F.col("other_key").alias("other_id"), "similarity")
         found = rows if found is None else found.unionByName(rows)
